@@ -33,7 +33,7 @@ def rows_of(columns, rows):
     return sorted((tuple(plain(r[i]) for i in order) for r in rows), key=repr)
 
 
-FAMILY = {"BIGINT": "int", "INTEGER": "int", "SMALLINT": "int", "HUGEINT": "huge", "DOUBLE": "float",
+FAMILY = {"BIGINT": "int", "INTEGER": "int", "SMALLINT": "int", "TINYINT": "int", "tinyint": "int", "HUGEINT": "huge", "DOUBLE": "float",
           "FLOAT": "float", "VARCHAR": "text", "BOOLEAN": "bool", "bigint": "int", "int": "int",
           "smallint": "int", "double": "float", "float": "float", "string": "text", "boolean": "bool"}
 

@@ -41,10 +41,11 @@ def short_hash(c: Column) -> Column:
 def language_scores(c: Column) -> dict[str, Column]:
     """Number of function words of each known language in the whole text."""
     words = F.split(clean_text(c), " ")
-    return {
-        lang: F.size(F.filter(words, lambda w, v=tuple(vocab): w.isin(*v)))
-        for lang, vocab in FUNCTION_WORDS.items()
-    }
+
+    def hits(vocab: list[str]) -> Column:
+        return F.size(F.filter(words, lambda w: w.isin(vocab)))
+
+    return {lang: hits(vocab) for lang, vocab in FUNCTION_WORDS.items()}
 
 
 def detect_language(c: Column) -> Column:
