@@ -396,16 +396,16 @@ def _comparison_sql() -> str:
             inner = f"(SELECT ({c} - a) / b AS x FROM lineitem, (SELECT {centre.format(c=c)} AS a, {width.format(c=c)} AS b FROM lineitem))"
             if form == "original":
                 inner = f"(SELECT {c} AS x FROM lineitem)"
-            parts.append(f"""SELECT '{form}' AS form, '{c}' AS "column", count(x) AS "count", round(avg(x), 6) + 0.0 AS mean, round(stddev_samp(x), 6) AS sd,
- round(min(x), 6) AS "min", round(quantile_cont(x, 0.25), 6) AS q25, round(quantile_cont(x, 0.5), 6) AS q50, round(quantile_cont(x, 0.75), 6) AS q75,
- round(max(x), 6) AS "max" FROM {inner}""")
+            parts.append(f"""SELECT '{form}' AS form, '{c}' AS "column", count(x) AS "count", round(avg(x), 5) + 0.0 AS mean, round(stddev_samp(x), 5) AS sd,
+ round(min(x), 5) AS "min", round(quantile_cont(x, 0.25), 5) AS q25, round(quantile_cont(x, 0.5), 5) AS q50, round(quantile_cont(x, 0.75), 5) AS q75,
+ round(max(x), 5) AS "max" FROM {inner}""")
     return " UNION ALL ".join(parts)
 
 
 @query("scl4_scaling_comparison", _comparison_sql())
 def scl4(spark, d):
     out = scale.scaling_comparison(read_table(spark, d, "lineitem"), LINES)
-    out = rounded(out, 6, "mean", "sd", "min", "q25", "q50", "q75", "max")
+    out = rounded(out, 5, "mean", "sd", "min", "q25", "q50", "q75", "max")
     return out.withColumn("mean", F.col("mean") + 0.0)
 
 

@@ -65,7 +65,7 @@ def one_hot_vectors(df: DataFrame, col: str, out: str) -> DataFrame:
     coded = lookup(df, codes, col, "value").withColumn("_code", F.coalesce(F.col("_code"), F.lit(float(n))))
     model = OneHotEncoder(inputCol="_code", outputCol=out, dropLast=True, handleInvalid="keep")
     # one slot past the last category stands for unknown and is all zeros
-    sizes = df.sparkSession.createDataFrame([(float(n),)], "_code double")
+    sizes = df.sparkSession.createDataFrame([(float(n - 1),)], "_code double")
     return model.fit(sizes).transform(coded).drop("_code")
 
 

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from tablemill.functions.numbers import clip, numeric_columns, quoted
@@ -179,9 +181,6 @@ def forest_fit(df: DataFrame, col: str, id_col: str, n_estimators: int = 100, se
     each, and in one dimension a tree is a step function of the value. The forest is the average of
     those steps: at most trees x 256 numbers.
     """
-    import numpy as np
-    import pandas as pd
-
     data = df.where(quoted(col).isNotNull()).select(quoted(col).cast("double").alias("x"),
                                                     quoted(id_col).cast("string").alias("id"))
     n = data.count()
@@ -199,7 +198,7 @@ def forest_fit(df: DataFrame, col: str, id_col: str, n_estimators: int = 100, se
         quotas = trees.select("tree").distinct().withColumn("want", F.lit(size))
         dealt = smallest_by_hash(trees, ["tree"], "h", quotas, "want").select(F.col("tree").cast("int"), "x")
 
-    def grow(key, pdf: "pd.DataFrame") -> "pd.DataFrame":
+    def grow(key, pdf: pd.DataFrame) -> pd.DataFrame:
         rng = np.random.RandomState((seed + 7919 * int(key[0])) % (2**32))
         limit = math.ceil(math.log2(max(size, 2)))
         leaves = []
@@ -229,20 +228,17 @@ def forest_fit(df: DataFrame, col: str, id_col: str, n_estimators: int = 100, se
 
 def flag_forest(df: DataFrame, col: str, id_col: str, contamination: float = 0.1, n_estimators: int = 100,
                 seed: int = 42) -> tuple[DataFrame, dict]:
-    import numpy as np
-    import pandas as pd
-
     starts, paths, size = forest_fit(df, col, id_col, n_estimators, seed)
     scale = _mean_path(size) or 1.0
 
-    @F.pandas_udf("double")
-    def score(x: pd.Series) -> pd.Series:
+    def score(x):
         v = x.to_numpy(dtype="float64", na_value=np.nan)
         # a split sends values equal to the cut to the left branch
         at = np.searchsorted(starts, v, side="left") - 1
         out = -np.power(2.0, -paths[np.clip(at, 0, len(paths) - 1)] / scale)
         return pd.Series(np.where(np.isnan(v), np.nan, out))
 
+    score = F.pandas_udf(score, "double", F.PandasUDFType.SCALAR)
     raw = df.withColumn("score", F.when(quoted(col).isNotNull(), score(quoted(col).cast("double"))))
     cut = quantiles(raw, ["score"], [contamination])["score"][0]
     return raw.withColumn(FLAG, F.coalesce(F.col("score") < cut, F.lit(False))), {
@@ -259,9 +255,6 @@ def lof_scores(df: DataFrame, col: str, id_col: str, n_neighbors: int = 20, bloc
     enough for distances, densities and factors. Blocks are bounded whatever the data looks like.
     Neighbours are ordered by distance, then by rank.
     """
-    import numpy as np
-    import pandas as pd
-
     data = df.where(quoted(col).isNotNull()).select(quoted(col).cast("double").alias("x"), quoted(id_col).alias("id"))
     ranked = global_rank(data, ["x", "id"])
     n = ranked.count()
@@ -276,7 +269,7 @@ def lof_scores(df: DataFrame, col: str, id_col: str, n_neighbors: int = 20, bloc
     spread = ranked.select("x", "id", "rank", F.explode(homes).alias("block"))
     id_type = data.schema["id"].dataType.simpleString()
 
-    def block(key, pdf: "pd.DataFrame") -> "pd.DataFrame":
+    def block(key, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("rank")
         x = pdf["x"].to_numpy()
         m = len(x)
