@@ -61,8 +61,7 @@ def lloyd_sql(rounds: int) -> str:
     sql = f"WITH p AS ({LINES_SQL}), m0 AS (" + " UNION ALL ".join(
         f"SELECT {i} AS k, CAST({a} AS DOUBLE) AS cx, CAST({b} AS DOUBLE) AS cy" for i, (a, b) in enumerate(CENTRES)) + ")"
     for r in range(rounds):
-        sql += f""", a{r} AS (SELECT x, y, arg_min(k, pow(x - cx, 2) + pow(y - cy, 2)) AS k FROM p, m{r} GROUP BY l_orderkey, l_linenumber, l_partkey, l_suppkey, x, y),
-n{r} AS (SELECT p.x, p.y, (SELECT arg_min(k, pow(p.x - cx, 2) + pow(p.y - cy, 2)) FROM m{r}) AS k FROM p),
+        sql += f""", n{r} AS (SELECT p.x, p.y, (SELECT arg_min(k, pow(p.x - cx, 2) + pow(p.y - cy, 2)) FROM m{r}) AS k FROM p),
 m{r + 1} AS (SELECT k, avg(x) AS cx, avg(y) AS cy FROM n{r} GROUP BY k)"""
     return sql + f" SELECT CAST(k AS INTEGER) AS cluster, round(cx, 6) AS cx, round(cy, 6) AS cy FROM m{rounds}"
 
