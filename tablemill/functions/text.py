@@ -38,24 +38,23 @@ def short_hash(c: Column) -> Column:
     return F.substring(F.md5(c.cast("string")), 1, 8)
 
 
-def language_scores(c: Column) -> dict[str, Column]:
-    """Number of function words of each known language in the whole text."""
-    words = F.split(clean_text(c), " ")
+def function_words(c: Column) -> Column:
+    """The words of the whole text that are a function word of some language."""
+    known = sorted({w for vocab in FUNCTION_WORDS.values() for w in vocab})
+    return F.filter(F.split(clean_text(c), " "), lambda w: w.isin(known))
 
-    def hits(vocab: list[str]) -> Column:
-        return F.size(F.filter(words, lambda w: w.isin(vocab)))
 
-    return {lang: hits(vocab) for lang, vocab in FUNCTION_WORDS.items()}
+def language_of(words: Column) -> Column:
+    """Language that most of the given function words belong to.
 
+    ``unknown`` for NULL or when there is none; ties go to the alphabetically first language.
+    """
 
-def detect_language(c: Column) -> Column:
-    """Language with most function words; ``unknown`` for NULL or when none occurs.
+    def hits(vocab: list[str]) -> Column:
+        return F.size(F.filter(words, lambda w: w.isin(vocab)))
 
-    A row-local expression: no explode and no shuffle, whatever the text length. Ties go to the
-    alphabetically first language.
-    """
-    ranked = [F.struct(score.alias("n"), F.lit(-i).alias("order"), F.lit(lang).alias("lang"))
-              for i, (lang, score) in enumerate(language_scores(c).items())]
+    ranked = [F.struct(hits(vocab).alias("n"), F.lit(-i).alias("order"), F.lit(lang).alias("lang"))
+              for i, (lang, vocab) in enumerate(FUNCTION_WORDS.items())]
     best = F.greatest(*ranked)
     return F.when(best["n"] > 0, best["lang"]).otherwise(F.lit("unknown"))
 

@@ -63,12 +63,12 @@ def plan_categories(df: DataFrame, p: dict[str, ColumnProfile], limit: float = 0
 
 
 def impute_nutrition(df: DataFrame, limit: float = 0.2, p: dict[str, ColumnProfile] | None = None) -> DataFrame:
-    dropped, values, _ = plan_nutrition(df, p or profile(df, distinct=False), limit)
+    dropped, values, _ = plan_nutrition(df, p or profile(df, distinct=False, moments=False), limit)
     return fill(df.drop(*dropped), values)
 
 
 def impute_categories(df: DataFrame, limit: float = 0.3, p: dict[str, ColumnProfile] | None = None) -> DataFrame:
-    dropped, values, _ = plan_categories(df, p or profile(df, distinct=False), limit)
+    dropped, values, _ = plan_categories(df, p or profile(df, distinct=False, moments=False), limit)
     return fill(df.drop(*dropped), values)
 
 
@@ -100,9 +100,10 @@ def per_serving_to_100g(df: DataFrame, quantity: str = "serving_quantity") -> Da
         for c in df.columns])
 
 
-def iqr_bounds(df: DataFrame, cols: list[str], factor: float = 1.5) -> dict[str, tuple[float, float]]:
+def iqr_bounds(df: DataFrame, cols: list[str], factor: float = 1.5, at_most: int | None = None,
+               ) -> dict[str, tuple[float, float]]:
     return {c: (q1 - factor * (q3 - q1), q3 + factor * (q3 - q1))
-            for c, (q1, q3) in quantiles(df, cols, [0.25, 0.75]).items()}
+            for c, (q1, q3) in quantiles(df, cols, [0.25, 0.75], at_most=at_most).items()}
 
 
 def iqr_filter(df: DataFrame, cols: list[str], factor: float = 1.5, mode: str = "sequential") -> DataFrame:
@@ -117,8 +118,9 @@ def iqr_filter(df: DataFrame, cols: list[str], factor: float = 1.5, mode: str =
         for c, (low, high) in bounds.items():
             df = df.where(quoted(c).between(low, high))
         return df
+    rows = df.count()
     for c in cols:
-        bounds = iqr_bounds(df, [c], factor)
+        bounds = iqr_bounds(df, [c], factor, rows)
         df = df.where(quoted(c).between(*bounds[c])) if c in bounds else df.where(F.lit(False))
     return df
 
@@ -180,7 +182,7 @@ def duplicate_report(df: DataFrame) -> DataFrame:
         F.struct(F.lit("full_row").alias("scope"), F.col("extra").alias("duplicates")),
         F.struct(F.lit("all_copies").alias("scope"), F.col("copies").alias("duplicates")))))
     # a missing cell counts as one more value
-    per_column = profile_table(df).select(
+    per_column = profile_table(df, moments=False).select(
         F.concat(F.lit("column:"), F.col("column")).alias("scope"),
         (F.col("rows") - F.col("distinct") - F.when(F.col("nulls") > 0, 1).otherwise(0)).alias("duplicates"))
     return rows.unionByName(per_column)

@@ -106,7 +106,7 @@ def train(df: DataFrame, cols: list[str], id_col: str, k: int | None = None, sco
     """Standardise, choose k unless given, tune, score. The scaled table is written once and re-read."""
     scaler = fit_standard(df, cols)
     data = materialised(apply_scaler(df.select(quoted(id_col), *[quoted(c).cast("double").alias(c) for c in cols]),
-                                     scaler), "kmeans")
+                                     scaler), "kmeans", spread_out=True)
     scan = []
     if k is None:
         scan = scan_k(data, cols, id_col, k_min, k_max, score, seed)

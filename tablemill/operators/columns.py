@@ -22,7 +22,7 @@ def sparse_columns(p: Profile, threshold: float) -> list[str]:
 
 
 def drop_sparse_columns(df: DataFrame, threshold: float = 0.3, p: Profile | None = None) -> DataFrame:
-    p = p or profile(df, distinct=False)
+    p = p or profile(df, distinct=False, moments=False)
     return df.drop(*sparse_columns(p, threshold))
 
 
@@ -40,11 +40,11 @@ def flat_columns(p: Profile, min_unique_ratio: float) -> list[str]:
 
 
 def drop_crowded_columns(df: DataFrame, max_categories: int = 30, p: Profile | None = None) -> DataFrame:
-    return df.drop(*crowded_columns(p or profile(df), max_categories))
+    return df.drop(*crowded_columns(p or profile(df, moments=False), max_categories))
 
 
 def drop_flat_columns(df: DataFrame, min_unique_ratio: float = 0.01, p: Profile | None = None) -> DataFrame:
-    return df.drop(*flat_columns(p or profile(df), min_unique_ratio))
+    return df.drop(*flat_columns(p or profile(df, moments=False), min_unique_ratio))
 
 
 def select_kind(df: DataFrame, numeric: bool) -> DataFrame:

@@ -39,11 +39,11 @@ def distinct_counts(df: DataFrame) -> DataFrame:
     return out
 
 
-def profile_table(df: DataFrame, approx: bool = False, distinct: bool = True) -> DataFrame:
+def profile_table(df: DataFrame, approx: bool = False, distinct: bool = True, moments: bool = True) -> DataFrame:
     """(column, position, dtype, kind, rows, nulls, distinct, min, max, mean, var, sd, fractional, bytes).
 
     One ``agg`` for everything but the exact distinct counts; ``approx`` puts sketches into that same
-    ``agg`` and drops the shuffle of values.
+    ``agg`` and drops the shuffle of values. Without ``moments`` only counts are taken.
     """
     aggs = [F.count(F.lit(1)).alias("rows")]
     for i, field in enumerate(df.schema):
@@ -51,11 +51,11 @@ def profile_table(df: DataFrame, approx: bool = False, distinct: bool = True) ->
         aggs.append(F.count(c).alias(f"c{i}"))
         if distinct and approx and not isinstance(field.dataType, (T.ArrayType, T.MapType)):
             aggs.append(F.approx_count_distinct(c).alias(f"d{i}"))
-        if is_numeric(field):
+        if moments and is_numeric(field):
             d = c.cast("double")
             aggs += [F.min(d).alias(f"lo{i}"), F.max(d).alias(f"hi{i}"), F.avg(d).alias(f"m{i}"),
                      F.var_samp(d).alias(f"v{i}"), F.count_if(d != F.floor(d)).alias(f"f{i}")]
-        if is_text(field):
+        if moments and is_text(field):
             aggs.append(F.sum(F.octet_length(c)).alias(f"b{i}"))
     wide = df.agg(*aggs)
     present = set(wide.columns)
@@ -117,7 +117,8 @@ class ColumnProfile:
         return (self.distinct or 0) / self.rows if self.rows else 0.0
 
 
-def profile(df: DataFrame, approx: bool = False, distinct: bool = True) -> dict[str, ColumnProfile]:
+def profile(df: DataFrame, approx: bool = False, distinct: bool = True, moments: bool = True,
+            ) -> dict[str, ColumnProfile]:
     """The same numbers on the driver, one record per column."""
-    rows = profile_table(df, approx, distinct).orderBy("position").collect()
+    rows = profile_table(df, approx, distinct, moments).orderBy("position").collect()
     return {r["column"]: ColumnProfile(**r.asDict()) for r in rows}

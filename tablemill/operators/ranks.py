@@ -92,18 +92,22 @@ def quantile_table(
     by: list[str] | None = None,
     exact_rows: int = EXACT_GROUP_ROWS,
     accuracy: int = 100_000,
+    at_most: int | None = None,
 ) -> DataFrame:
     """Exact linear-interpolated quantiles as (by..., column, n, q) with ``q`` an array.
 
     Groups are counted first. If none is larger than ``exact_rows``, Spark's ``percentile`` does it in
     one aggregation. Otherwise a mergeable sketch brackets every wanted position within a narrow value
     band, a second scan counts the rows below each band and the distinct values inside it, and the
-    answer is read off the band. The bracket is checked, not trusted.
+    answer is read off the band. The bracket is checked, not trusted. ``at_most`` is a known bound on
+    the rows of a group and saves the count.
     """
     by = by or []
     keys = by + ["column"]
-    counts = df.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
-    largest = counts.agg(F.max("_n")).first()[0] or 0
+    largest = at_most
+    if largest is None:
+        counts = df.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
+        largest = counts.agg(F.max("_n")).first()[0] or 0
     if largest <= exact_rows:
         array = F.array(*[F.lit(float(q)) for q in probs])
         aggs = []

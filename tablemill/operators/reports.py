@@ -15,7 +15,7 @@ def percent(part: Column, whole: Column) -> Column:
 
 
 def quality_report(df: DataFrame, approx: bool = False, profiled: DataFrame | None = None) -> DataFrame:
-    p = profiled or profile_table(df, approx)
+    p = profiled or profile_table(df, approx, moments=False)
     share = F.col("distinct") / F.col("rows")
     return p.select(
         "column", "dtype", "rows",
@@ -30,7 +30,7 @@ def quality_report(df: DataFrame, approx: bool = False, profiled: DataFrame | No
 
 
 def missing_report(df: DataFrame, threshold: float = 50.0) -> DataFrame:
-    p = profile_table(df, distinct=False)
+    p = profile_table(df, distinct=False, moments=False)
     pct = F.col("nulls") / F.col("rows") * 100
     return (
         p.where(F.col("nulls") > 0)
@@ -57,7 +57,7 @@ def consistency_report(df: DataFrame, energy: str = "energy-kcal_100g",
 def problem_columns(df: DataFrame, missing_threshold: float = 0.5, unique_threshold: float = 0.95,
                     format_column: str = "serving_size") -> DataFrame:
     """(column, issue, ratio): too many nulls, nearly unique, constant, bad format."""
-    p = profile_table(df)
+    p = profile_table(df, moments=False)
     null_ratio, share = F.col("nulls") / F.col("rows"), F.col("distinct") / F.col("rows")
     issues = F.array(
         F.struct(F.lit("high_missing").alias("issue"), null_ratio.alias("ratio"),
@@ -99,7 +99,7 @@ def category_distribution(df: DataFrame, cols: list[str] | None = None) -> DataF
         (-F.sum(F.col("share") * F.ln("share"))).alias("entropy"),
         (F.max("n") / F.min("n")).alias("imbalance_ratio"),
     )
-    rows = profile_table(df.select(*[quoted(c) for c in cols]), distinct=False)
+    rows = profile_table(df.select(*[quoted(c) for c in cols]), distinct=False, moments=False)
     return stats.join(F.broadcast(rows), "column").select(
         "column", "n_categories", "entropy", "imbalance_ratio",
         (F.col("nulls") / F.col("rows")).alias("null_ratio"),

@@ -7,14 +7,14 @@ from pyspark.sql import DataFrame, functions as F
 from tablemill.functions.names import nutrition_columns, redundant_columns
 from tablemill.functions.numbers import (ean13_valid, numeric_columns, quantity_and_unit, quoted, ratio,
                                          right_closed_bins, standard_quantity)
-from tablemill.functions.text import clean_text, comma_items, detect_language
+from tablemill.functions.text import clean_text, comma_items, function_words, language_of
 from tablemill.operators.clean import (apply_ranges, clip_negative, fill, iqr_filter, per_serving_to_100g,
                                        plan_categories, plan_nutrition)
 from tablemill.operators.columns import drop_sparse_rows, sparse_columns
 from tablemill.operators.outliers import category_anomalies
 from tablemill.operators.profile import profile
 from tablemill.operators.reports import problem_columns
-from tablemill.session import materialised
+from tablemill.session import materialised, spread
 
 INFINITY = float("inf")
 LANGUAGE_COLUMNS = ["product_name", "ingredients_text", "generic_name"]
@@ -38,7 +38,7 @@ def clean_table(df: DataFrame, missing_threshold: float = 0.3, iqr_mode: str = "
     fills the gaps; the deduplicated table is written once, because the IQR step reads it column by
     column.
     """
-    p = profile(df, distinct=False)
+    p = profile(df, distinct=False, moments=False)
     sparse = sparse_columns(p, missing_threshold)
     log = [(1, c, "removed_column", "nulls") for c in sparse]
     out = extract_serving(df.drop(*sparse))
@@ -84,15 +84,19 @@ def check_barcodes(df: DataFrame, col: str = "code") -> DataFrame:
 
 
 def tag_languages(df: DataFrame) -> DataFrame:
-    """``<column>_lang`` and, where a declared language exists, ``<column>_consistent``."""
-    new = {}
-    for c in LANGUAGE_COLUMNS:
-        if c in df.columns:
-            found = detect_language(quoted(c))
-            new[f"{c}_lang"] = found
-            if "lang" in df.columns:
-                new[f"{c}_consistent"] = F.coalesce(found == F.col("lang"), F.lit(False))
-    return df.withColumns(new) if new else df
+    """``<column>_lang`` and, where a declared language exists, ``<column>_consistent``.
+
+    Row-local: no explode and no shuffle, whatever the text length. Words and language are columns of
+    their own so that each is computed once.
+    """
+    columns = [c for c in LANGUAGE_COLUMNS if c in df.columns]
+    df = spread(df) if columns else df
+    for c in columns:
+        df = df.withColumn("_words", function_words(quoted(c))).withColumn(f"{c}_lang", language_of(F.col("_words")))
+        df = df.drop("_words")
+        if "lang" in df.columns:
+            df = df.withColumn(f"{c}_consistent", F.coalesce(quoted(f"{c}_lang") == F.col("lang"), F.lit(False)))
+    return df
 
 
 def full_clean(df: DataFrame, id_col: str = "row_id") -> dict[str, DataFrame]:

@@ -54,12 +54,23 @@ def work_path(spark: SparkSession, name: str) -> str:
     return f"{shared_root(spark).rstrip('/')}/tablemill-{name}-{uuid.uuid4().hex}"
 
 
-def materialised(df: DataFrame, name: str) -> DataFrame:
+def spread(df: DataFrame) -> DataFrame:
+    """Rebalance a table that has fewer files than there are cores, before work that is heavy on CPU.
+
+    Adaptive execution picks the partition sizes. A table of many files is left as it is.
+    """
+    if len(df.inputFiles()) < df.sparkSession.sparkContext.defaultParallelism:
+        return df.hint("rebalance")
+    return df
+
+
+def materialised(df: DataFrame, name: str, spread_out: bool = False) -> DataFrame:
     """Write ``df`` as a parquet work table in the shared folder and read it back.
 
     Used before steps that scan the same rows several times: later scans read only the columns they
-    need, and a lost executor costs a re-read instead of the whole upstream plan.
+    need, and a lost executor costs a re-read instead of the whole upstream plan. ``spread_out`` is for
+    tables that an iterative fit reads many times.
     """
     path = work_path(df.sparkSession, name)
-    df.write.parquet(path)
+    (spread(df) if spread_out else df).write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
