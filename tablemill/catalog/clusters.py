@@ -253,7 +253,7 @@ def clu12(spark, d):
 def clu13(spark, d):
     df = products(spark, d).dropDuplicates(["row_id"]).select("row_id", "code", "brands", "energy_100g", "proteins_100g", "sugars_100g")
     _, done = cluster_table(df, "row_id", min_unique_ratio=0.0001, kmeans={"k": 3, "n_init": 1},
-                            gmm={"k": 2, "n_init": 1, "max_iter": 5}, dbscan={"eps": 0.5, "min_samples": 10})
+                            gmm={"k": 2, "n_init": 1, "max_iter": 5}, dbscan={"eps": 0.3, "min_samples": 10})
     return done.metrics()
 
 

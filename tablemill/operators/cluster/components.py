@@ -43,7 +43,7 @@ def _star(edges: DataFrame, larger_only: bool) -> DataFrame:
     down and the node itself is linked too (small star).
     """
     least = edges.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-    met = edges.join(small_side(least), "u")
+    met = edges.join(small_side(least, True), "u")
     if larger_only:
         out = met.where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:

@@ -56,13 +56,12 @@ def proportion_table(original: DataFrame, sample: DataFrame, col: str) -> DataFr
     """(value, n_original, n_sample, p_original, p_sample): left join, values missing in the sample are 0."""
     a = value_counts(original, [col]).select("value", F.col("n").alias("n_original"))
     b = value_counts(sample, [col]).select("value", F.col("n").alias("n_sample"))
-    n1 = original.agg(F.count(quoted(col)).alias("t1"))
-    n2 = sample.agg(F.count(quoted(col)).alias("t2"))
+    n1 = original.agg(F.count(quoted(col))).first()[0]
+    n2 = sample.agg(F.count(quoted(col))).first()[0]
     both = a.join(b, "value", "left").withColumn("n_sample", F.coalesce("n_sample", F.lit(0)))
-    # two one-row tables
-    return both.crossJoin(F.broadcast(n1)).crossJoin(F.broadcast(n2)).select(
-        "value", "n_original", "n_sample", (F.col("n_original") / F.col("t1")).alias("p_original"),
-        F.try_divide(F.col("n_sample"), F.col("t2")).alias("p_sample"))
+    return both.select(
+        "value", "n_original", "n_sample", (F.col("n_original") / F.lit(n1)).alias("p_original"),
+        F.try_divide(F.col("n_sample"), F.lit(n2)).alias("p_sample"))
 
 
 def category_drift(original: DataFrame, sample: DataFrame, cols: list[str]) -> DataFrame:

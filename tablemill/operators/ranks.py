@@ -146,7 +146,7 @@ def _banded_quantiles(df, cols, probs, by, keys, accuracy):
         for i, q in enumerate(probs)
     ]))
     bands = checkpointed(stats.select(*keys, "n", probes.alias("_b")).select(*keys, "n", "_b.*"))
-    hit = values.join(small_side(bands), keys).where(F.col("value") <= F.col("hi"))
+    hit = values.join(small_side(bands, True), keys).where(F.col("value") <= F.col("hi"))
     # rows under the band collapse to one NULL-valued row, copies inside it to one weighted value
     inside = F.when(F.col("value") >= F.col("lo"), F.col("value"))
     grouped = hit.groupBy(*keys, "probe", "p", "n", inside.alias("v")).agg(F.count(F.lit(1)).alias("w"))
@@ -214,13 +214,17 @@ def smallest_by_hash(
     w = Window.partitionBy(*([quoted(b) for b in by] or [F.lit(1)])).orderBy("_hb").rowsBetween(
         Window.unboundedPreceding, -1)
     before = sizes.withColumn("_before", F.coalesce(F.sum("_c").over(w), F.lit(0)))
-    joined = before.join(quotas, by) if by else before.crossJoin(F.broadcast(quotas))
+    joined = before.join(quotas, by) if by else before.withColumn(quota_col, F.lit(quotas.first()[quota_col]))
     # bucket that the quota runs out in, and how many of its rows are still wanted
     cuts = joined.where(F.col("_before") < F.col(quota_col)).groupBy(*by).agg(
         F.max("_hb").alias("_cut"),
         F.max_by(F.col(quota_col) - F.col("_before"), F.col("_hb")).alias("_want"),
     )
-    rows = keyed.join(cuts, by) if by else keyed.crossJoin(F.broadcast(cuts))
+    if by:
+        rows = keyed.join(small_side(cuts), by)
+    else:
+        cut = cuts.first()
+        rows = keyed.withColumns({"_cut": F.lit(cut["_cut"]).cast("int"), "_want": F.lit(cut["_want"]).cast("long")})
     whole = rows.where(F.col("_hb") < F.col("_cut"))
     ranked = rows.where(F.col("_hb") == F.col("_cut")).withColumn(
         "_rn",

@@ -126,12 +126,11 @@ def extreme_categories(df: DataFrame, cols: list[str], k: int = 5) -> DataFrame:
 def category_summary(df: DataFrame, cols: list[str]) -> DataFrame:
     """Distinct count, most common value with its share and a top-3 text per column."""
     counts = value_counts(df, cols)
-    rows = df.agg(F.count(F.lit(1)).alias("rows"))
     w = Window.partitionBy("column").orderBy(F.col("n").desc(), "value")
     top = counts.withColumn("rk", F.row_number().over(w)).where(F.col("rk") <= 3)
     sizes = counts.groupBy("column").agg(F.count(F.lit(1)).alias("unique_values"))
-    pct = F.round(F.col("n") / F.col("rows") * 100, 2)
-    texts = top.crossJoin(F.broadcast(rows)).withColumn("pct", pct).groupBy("column").agg(
+    pct = F.round(F.col("n") / F.lit(df.count()) * 100, 2)
+    texts = top.withColumn("pct", pct).groupBy("column").agg(
         F.max(F.when(F.col("rk") == 1, F.col("value"))).alias("most_common"),
         F.max(F.when(F.col("rk") == 1, F.col("pct"))).alias("most_common_pct"),
         F.array_join(F.transform(
@@ -211,13 +210,14 @@ def relevance_report(df: DataFrame, variance_weight: float = 0.3, missing_weight
 def storage_report(df: DataFrame) -> DataFrame:
     """Estimated bytes per column, their share and a narrower type where the values allow it."""
     p = profile_table(df)
-    total = p.agg(F.sum("bytes").alias("total"))
+    # one row per column: the window is as small as the column list
+    total = F.sum("bytes").over(Window.partitionBy(F.lit(1)))
     hint = (
         F.when((F.col("kind") == "text") & (F.col("distinct") <= 255), "dictionary")
         .when((F.col("dtype") == "bigint") & (F.col("min") >= 0) & (F.col("max") <= 255), "smallint")
     )
-    return p.crossJoin(F.broadcast(total)).select(
-        "column", "dtype", "bytes", (F.col("bytes") / F.col("total") * 100).alias("bytes_pct"), "distinct",
+    return p.select(
+        "column", "dtype", "bytes", (F.col("bytes") / total * 100).alias("bytes_pct"), "distinct",
         hint.alias("suggestion"))
 
 
