@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tablemill.llm import quality_rules, sharding
+from tablemill.llm import contamination, quality_rules, sharding
 from tablemill.sources.tables import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -32,3 +32,9 @@ def op1_uniform_shards(spark, folder):
 def op3_quality_rules(spark, folder):
     docs = read_table(spark, folder, "documents").select("doc_id", "text")
     return quality_rules.apply_rules(docs).drop("text")
+
+
+@query("op4_decontamination")
+def op4_decontamination(spark, folder):
+    found = contamination.contamination(read_table(spark, folder, "documents"), read_table(spark, folder, "benchmark"))
+    return found.drop("print", "spans")
