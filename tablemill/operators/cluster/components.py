@@ -2,26 +2,20 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from tablemill.operators.joins import small_side
 from tablemill.session import checkpointed
 
-SMALL_GRAPH = 50_000
 
-
-def connected_components(edges: DataFrame, a: str = "a", b: str = "b", small: int = SMALL_GRAPH) -> DataFrame:
+def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, label) for every node that has an edge; the label is the smallest node of its component.
 
-    A counted small graph is solved in one task. Larger ones alternate the large-star and small-star
-    steps (Kiveris et al., "Connected Components in MapReduce and Beyond", 2014): the number of rounds
-    grows with the logarithm of the size and no neighbour list is ever collected.
+    Rounds alternate the large-star and small-star steps (Kiveris et al., "Connected Components in
+    MapReduce and Beyond", 2014): the number of rounds grows with the logarithm of the size and no
+    neighbour list is ever collected. A hot node is left to the skew handling of adaptive execution.
     """
     x, y = F.col(a), F.col(b)
     graph = checkpointed(edges.where(x != y).select(F.greatest(x, y).alias("u"), F.least(x, y).alias("v")).distinct())
-    if graph.count() <= small:
-        return _solve_small(graph)
     mark = None
     while True:
         both = graph.unionByName(graph.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -43,39 +37,10 @@ def _star(edges: DataFrame, larger_only: bool) -> DataFrame:
     down and the node itself is linked too (small star).
     """
     least = edges.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-    met = edges.join(small_side(least, True), "u")
+    met = edges.join(least, "u")
     if larger_only:
         out = met.where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:
         out = met.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(
             least.select("u", F.col("m").alias("v")))
     return out.where("u <> v").distinct()
-
-
-def _solve_small(graph: DataFrame) -> DataFrame:
-    kind = graph.schema["u"].dataType.simpleString()
-
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        # arrays are not hashable
-        as_key = lambda v: tuple(v) if hasattr(v, "__len__") and not isinstance(v, str) else v
-        parent: dict = {}
-
-        def root(n):
-            while parent[n] != n:
-                parent[n] = parent[parent[n]]
-                n = parent[n]
-            return n
-
-        for u, v in zip(pdf["u"], pdf["v"]):
-            u, v = as_key(u), as_key(v)
-            parent.setdefault(u, u)
-            parent.setdefault(v, v)
-            ru, rv = root(u), root(v)
-            if ru != rv:
-                parent[max(ru, rv)] = min(ru, rv)
-        nodes = list(parent)
-        back = lambda n: list(n) if isinstance(n, tuple) else n
-        return pd.DataFrame({"node": [back(n) for n in nodes], "label": [back(root(n)) for n in nodes]})
-
-    one = graph.select(F.lit(0).alias("g"), "u", "v")
-    return one.groupBy("g").applyInPandas(solve, f"node {kind}, label {kind}")

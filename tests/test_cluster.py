@@ -59,14 +59,22 @@ def test_dbscan(spark, monkeypatch, d, direct):
     assert len(set(names.values())) == len(names)
 
 
-def test_components_without_shortcut(spark):
+def test_components(spark):
     rng = np.random.RandomState(2)
     edges = [(int(a), int(b)) for a, b in rng.randint(0, 300, (200, 2))] + [(i, i + 1) for i in range(400, 440)]
     edges += [(500, i) for i in range(501, 560)]
     df = spark.createDataFrame(edges, "a long, b long")
-    small = {r["node"]: r["label"] for r in components.connected_components(df).collect()}
-    large = {r["node"]: r["label"] for r in components.connected_components(df, small=0).collect()}
-    assert small == large and large[440] == 400 and large[559] == 500
+    found = {r["node"]: r["label"] for r in components.connected_components(df).collect()}
+    least = {n: n for e in edges for n in e}
+    while True:
+        before = dict(least)
+        for a, b in edges:
+            least[a] = least[b] = min(least[a], least[b])
+        if least == before:
+            break
+    alone = {a for a, b in edges if a == b} - {n for a, b in edges if a != b for n in (a, b)}
+    assert found == {n: m for n, m in least.items() if n not in alone}
+    assert found[440] == 400 and found[559] == 500
 
 
 @pytest.mark.parametrize("k", [2, 5])
