@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tablemill.llm import contamination, quality_rules, sharding
+from tablemill.llm import contamination, quality_model, quality_rules, sharding, similar
 from tablemill.sources.tables import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -38,3 +38,17 @@ def op3_quality_rules(spark, folder):
 def op4_decontamination(spark, folder):
     found = contamination.contamination(read_table(spark, folder, "documents"), read_table(spark, folder, "benchmark"))
     return found.drop("print", "spans")
+
+
+@query("op7_quality_classifier")
+def op7_quality_classifier(spark, folder):
+    docs = read_table(spark, folder, "documents").select("doc_id", "text")
+    model = quality_model.train(docs, read_table(spark, folder, "labels"))
+    held_out = quality_model.crc_remainder(F.col("doc_id")) == 2
+    return quality_model.score(docs, model).select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
+@query("op9_jaccard_join")
+def op9_jaccard_join(spark, folder):
+    found = similar.similar_documents(read_table(spark, folder, "documents"))
+    return found.select("doc_id", "class_id", "n_links", "n_copies")
