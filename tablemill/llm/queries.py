@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tablemill.llm import contamination, quality_model, quality_rules, sharding, similar
+from tablemill.llm import contamination, quality_model, quality_rules, sharding, similar, token_counts
 from tablemill.sources.tables import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -52,3 +52,9 @@ def op7_quality_classifier(spark, folder):
 def op9_jaccard_join(spark, folder):
     found = similar.similar_documents(read_table(spark, folder, "documents"))
     return found.select("doc_id", "class_id", "n_links", "n_copies")
+
+
+@query("op5_token_counts")
+def op5_token_counts(spark, folder):
+    counts = token_counts.count_tokens(read_table(spark, folder, "documents"))
+    return counts.withColumn("over_limit", F.col("n_tokens") > token_counts.LIMIT)

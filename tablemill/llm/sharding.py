@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tablemill.functions.numbers import quoted
-from tablemill.llm.base import attach, prepared, slim
+from tablemill.llm.base import attach, let, prepared, slim
 from tablemill.operators.joins import small_side
 from tablemill.session import checkpointed, materialised
 
@@ -13,7 +13,7 @@ from tablemill.session import checkpointed, materialised
 RUN_ROWS = 100_000
 #: A draw looks this many standard deviations to each side; what lies beyond has less weight than the
 #: last bit of a double.
-REACH = 12
+REACH = 9
 
 
 def unit(*parts: Column) -> Column:
@@ -21,34 +21,39 @@ def unit(*parts: Column) -> Column:
     return F.shiftrightunsigned(F.xxhash64(*parts), 11).cast("double") * F.lit(2.0 ** -53)
 
 
-def with_hypergeometric(df: DataFrame, name: str, total: Column, marked: Column, drawn: Column,
-                        u: Column) -> DataFrame:
-    """Add the number of marked balls among ``drawn`` out of ``total`` with ``marked`` marked ones.
+def hypergeometric(total: Column, marked: Column, drawn: Column, u: Column) -> Column:
+    """The number of marked balls among ``drawn`` out of ``total`` with ``marked`` marked ones.
 
     The distribution is inverted at ``u``. Its weights follow from each other by their quotients, so no
-    factorials are needed, and a fold walks over the values that can occur. An empty urn gives 0.
+    factorials are needed, and a fold walks over the values that can occur. An empty urn gives 0. All
+    inner values are bound by ``let``: the optimizer would else compute them anew for every step of the walk.
     """
     n, k, m = (c.cast("double") for c in (total, marked, drawn))
-    safe = F.greatest(n, F.lit(1.0))
-    spread = F.sqrt(m * k / safe * (1 - k / safe) * (n - m) / F.greatest(n - 1, F.lit(1.0)))
-    far = REACH * spread + 2 * REACH
-    low = F.greatest(F.lit(0.0), m - (n - k), F.floor(m * k / safe - far)).cast("long")
-    high = F.greatest(low, F.least(k, m, F.ceil(m * k / safe + far)).cast("long"))
-    df = df.withColumn("_urn", F.struct(n.alias("n"), k.alias("k"), m.alias("m"), low.alias("low"),
-                                        high.alias("high"), u.alias("u")))
-    urn, values = F.col("_urn"), F.sequence(F.col("_urn.low"), F.col("_urn.high"))
-    more = lambda w, x: w * (urn["k"] - x) * (urn["m"] - x) / (
-        (x + 1) * F.greatest(urn["n"] - urn["k"] - urn["m"] + x + 1, F.lit(1.0)))
-    begin = [F.lit(1.0).alias("w"), F.lit(0.0).alias("sum")]
-    onward = lambda a, x: [more(a["w"], x.cast("double")).alias("w"), (a["sum"] + a["w"]).alias("sum")]
-    df = df.withColumn("_weight", F.aggregate(
-        values, F.struct(*begin), lambda a, x: F.struct(*onward(a, x)), lambda a: a["sum"]))
-    found = F.aggregate(
-        values, F.struct(*begin, urn["low"].alias("at")),
-        lambda a, x: F.struct(*onward(a, x), F.when(
-            a["sum"] + a["w"] <= urn["u"] * F.col("_weight"), F.least(x + 1, urn["high"])).otherwise(a["at"]).alias("at")),
-        lambda a: a["at"])
-    return df.withColumn(name, found).drop("_urn", "_weight")
+    urn = F.struct(n.alias("n"), k.alias("k"), m.alias("m"), u.alias("u"))
+
+    def bounded(urn: Column) -> Column:
+        n, k, m = urn["n"], urn["k"], urn["m"]
+        safe = F.greatest(n, F.lit(1.0))
+        spread = F.sqrt(m * k / safe * (1 - k / safe) * (n - m) / F.greatest(n - 1, F.lit(1.0)))
+        mean, far = m * k / safe, REACH * spread + 2 * REACH
+        low = F.greatest(F.lit(0.0), m - (n - k), F.floor(mean - far)).cast("long")
+        high = F.greatest(low, F.least(k, m, F.ceil(mean + far)).cast("long"))
+        return let(F.struct(low.alias("low"), high.alias("high")), lambda ends: walked(urn, ends))
+
+    def walked(urn: Column, ends: Column) -> Column:
+        values = F.sequence(ends["low"], ends["high"])
+        more = lambda w, x: w * (urn["k"] - x) * (urn["m"] - x) / (
+            (x + 1) * F.greatest(urn["n"] - urn["k"] - urn["m"] + x + 1, F.lit(1.0)))
+        begin = [F.lit(1.0).alias("w"), F.lit(0.0).alias("sum")]
+        onward = lambda a, x: [more(a["w"], x.cast("double")).alias("w"), (a["sum"] + a["w"]).alias("sum")]
+        weight = F.aggregate(values, F.struct(*begin), lambda a, x: F.struct(*onward(a, x)), lambda a: a["sum"])
+        return let(weight * urn["u"], lambda goal: F.aggregate(
+            values, F.struct(*begin, ends["low"].alias("at")),
+            lambda a, x: F.struct(*onward(a, x), F.when(
+                a["sum"] + a["w"] <= goal, F.least(x + 1, ends["high"])).otherwise(a["at"]).alias("at")),
+            lambda a: a["at"]))
+
+    return let(urn, bounded)
 
 
 def communication_matrix(counts: DataFrame, shards: int, seed: int) -> DataFrame:
@@ -78,15 +83,17 @@ def _halve_shards(level: DataFrame, base: int, rest: int, parts: int, seed: int)
              .withColumn("taken", quota.cast("long")))
     members, taken = F.col("parts"), F.col("taken")
     total = lambda a: F.aggregate(a, F.lit(0).cast("long"), lambda s, x: s + x["rows"])
-    for _ in range(max(parts - 1, 0).bit_length()):
+    for depth in range(max(parts - 1, 0).bit_length()):
+        if depth % 4 == 3:  # many nodes by now
+            nodes = nodes.repartition("lo", members[0]["part"])
         half = F.ceil(F.size(members) / 2).cast("int")
-        nodes = nodes.withColumn("first", F.slice(members, F.lit(1), half))
-        nodes = with_hypergeometric(nodes, "drawn", total(members), total(F.col("first")), taken,
-                                    unit(F.lit(seed), lo, hi, members[0]["part"], F.size(members)))
-        pair = F.filter(F.array(
-            F.struct(F.col("first").alias("parts"), F.col("drawn").alias("taken")),
-            F.struct(F.slice(members, half + 1, F.greatest(F.size(members) - half, F.lit(0))).alias("parts"),
-                     (taken - F.col("drawn")).alias("taken"))), lambda x: F.size(x["parts"]) > 0)
+        first = F.slice(members, F.lit(1), half)
+        second = F.slice(members, half + 1, F.greatest(F.size(members) - half, F.lit(0)))
+        drawn = hypergeometric(total(members), total(first), taken,
+                               unit(F.lit(seed), lo, hi, members[0]["part"], F.size(members)))
+        pair = let(drawn, lambda d: F.filter(F.array(
+            F.struct(first.alias("parts"), d.alias("taken")),
+            F.struct(second.alias("parts"), (taken - d).alias("taken"))), lambda x: F.size(x["parts"]) > 0))
         nodes = nodes.select("lo", "hi", F.explode(pair).alias("x")).select("lo", "hi", "x.parts", "x.taken")
     one = members[0]
     split = nodes.select(F.explode(F.array(
