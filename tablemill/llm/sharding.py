@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tablemill.functions.numbers import quoted
-from tablemill.llm.base import attach, let, prepared, slim
+from tablemill.llm.base import attach, prepared, slim
 from tablemill.operators.joins import small_side
 from tablemill.session import checkpointed, materialised
 
@@ -21,39 +21,29 @@ def unit(*parts: Column) -> Column:
     return F.shiftrightunsigned(F.xxhash64(*parts), 11).cast("double") * F.lit(2.0 ** -53)
 
 
-def hypergeometric(total: Column, marked: Column, drawn: Column, u: Column) -> Column:
-    """The number of marked balls among ``drawn`` out of ``total`` with ``marked`` marked ones.
+def hypergeometric(total: str, marked: str, drawn: str, u: str) -> str:
+    """SQL text for the number of marked balls among ``drawn`` out of ``total`` with ``marked`` marked ones.
 
     The distribution is inverted at ``u``. Its weights follow from each other by their quotients, so no
     factorials are needed, and a fold walks over the values that can occur. An empty urn gives 0. All
-    inner values are bound by ``let``: the optimizer would else compute them anew for every step of the walk.
+    inner values are bound by a transform of one element: the optimizer would else compute them anew for
+    every step of the walk. It is SQL text because so deep an expression takes seconds to build call by call.
     """
-    n, k, m = (c.cast("double") for c in (total, marked, drawn))
-    urn = F.struct(n.alias("n"), k.alias("k"), m.alias("m"), u.alias("u"))
-
-    def bounded(urn: Column) -> Column:
-        n, k, m = urn["n"], urn["k"], urn["m"]
-        safe = F.greatest(n, F.lit(1.0))
-        spread = F.sqrt(m * k / safe * (1 - k / safe) * (n - m) / F.greatest(n - 1, F.lit(1.0)))
-        mean, far = m * k / safe, REACH * spread + 2 * REACH
-        low = F.greatest(F.lit(0.0), m - (n - k), F.floor(mean - far)).cast("long")
-        high = F.greatest(low, F.least(k, m, F.ceil(mean + far)).cast("long"))
-        return let(F.struct(low.alias("low"), high.alias("high")), lambda ends: walked(urn, ends))
-
-    def walked(urn: Column, ends: Column) -> Column:
-        values = F.sequence(ends["low"], ends["high"])
-        more = lambda w, x: w * (urn["k"] - x) * (urn["m"] - x) / (
-            (x + 1) * F.greatest(urn["n"] - urn["k"] - urn["m"] + x + 1, F.lit(1.0)))
-        begin = [F.lit(1.0).alias("w"), F.lit(0.0).alias("sum")]
-        onward = lambda a, x: [more(a["w"], x.cast("double")).alias("w"), (a["sum"] + a["w"]).alias("sum")]
-        weight = F.aggregate(values, F.struct(*begin), lambda a, x: F.struct(*onward(a, x)), lambda a: a["sum"])
-        return let(weight * urn["u"], lambda goal: F.aggregate(
-            values, F.struct(*begin, ends["low"].alias("at")),
-            lambda a, x: F.struct(*onward(a, x), F.when(
-                a["sum"] + a["w"] <= goal, F.least(x + 1, ends["high"])).otherwise(a["at"]).alias("at")),
-            lambda a: a["at"]))
-
-    return let(urn, bounded)
+    more = "a.w * (t.k - x) * (t.m - x) / ((x + 1) * greatest(t.n - t.k - t.m + x + 1, 1D))"
+    step = f"'w', {more}, 'sum', a.sum + a.w"
+    begin = "'w', 1D, 'sum', 0D"
+    urn = (f"named_struct('n', double({total}), 'k', double({marked}), 'm', double({drawn}), 'u', {u})")
+    reach = (f"{REACH} * sqrt(r.m * r.k / greatest(r.n, 1D) * (1 - r.k / greatest(r.n, 1D)) * (r.n - r.m)"
+             f" / greatest(r.n - 1, 1D)) + {2 * REACH}")
+    mean = "r.m * r.k / greatest(r.n, 1D)"
+    ends = (f"named_struct('n', r.n, 'k', r.k, 'm', r.m, 'u', r.u,"
+            f" 'low', bigint(greatest(0D, r.m - (r.n - r.k), floor({mean} - ({reach})))),"
+            f" 'high', bigint(least(r.k, r.m, ceil({mean} + ({reach})))))")
+    weight = (f"aggregate(sequence(t.low, greatest(t.low, t.high)), named_struct({begin}),"
+              f" (a, x) -> named_struct({step}), a -> a.sum) * t.u")
+    walk = (f"aggregate(sequence(t.low, greatest(t.low, t.high)), named_struct({begin}, 'at', t.low),"
+            f" (a, x) -> named_struct({step}, 'at', if(a.sum + a.w <= goal, least(x + 1, t.high), a.at)), a -> a.at)")
+    return (f"transform(transform(array({urn}), r -> {ends}), t -> transform(array({weight}), goal -> {walk})[0])[0]")
 
 
 def communication_matrix(counts: DataFrame, shards: int, seed: int) -> DataFrame:
@@ -82,19 +72,18 @@ def _halve_shards(level: DataFrame, base: int, rest: int, parts: int, seed: int)
              .agg(F.sort_array(F.collect_list(F.struct("part", "rows"))).alias("parts"))
              .withColumn("taken", quota.cast("long")))
     members, taken = F.col("parts"), F.col("taken")
-    total = lambda a: F.aggregate(a, F.lit(0).cast("long"), lambda s, x: s + x["rows"])
+    half = "int(ceil(size(parts) / 2))"
+    total = lambda a: f"aggregate({a}, 0L, (s, x) -> s + x.rows)"
+    first = f"slice(parts, 1, {half})"
+    second = f"slice(parts, {half} + 1, size(parts) - {half})"
+    chance = f"double(shiftrightunsigned(xxhash64({seed}, lo, hi, parts[0].part, size(parts)), 11)) * pow(2D, -53)"
+    pair = (f"transform(array({hypergeometric(total('parts'), total(first), 'taken', chance)}), d -> filter(array("
+            f"named_struct('parts', {first}, 'taken', d), named_struct('parts', {second}, 'taken', taken - d)),"
+            f" p -> size(p.parts) > 0))[0]")
     for depth in range(max(parts - 1, 0).bit_length()):
         if depth % 4 == 3:  # many nodes by now
             nodes = nodes.repartition("lo", members[0]["part"])
-        half = F.ceil(F.size(members) / 2).cast("int")
-        first = F.slice(members, F.lit(1), half)
-        second = F.slice(members, half + 1, F.greatest(F.size(members) - half, F.lit(0)))
-        drawn = hypergeometric(total(members), total(first), taken,
-                               unit(F.lit(seed), lo, hi, members[0]["part"], F.size(members)))
-        pair = let(drawn, lambda d: F.filter(F.array(
-            F.struct(first.alias("parts"), d.alias("taken")),
-            F.struct(second.alias("parts"), (taken - d).alias("taken"))), lambda x: F.size(x["parts"]) > 0))
-        nodes = nodes.select("lo", "hi", F.explode(pair).alias("x")).select("lo", "hi", "x.parts", "x.taken")
+        nodes = nodes.selectExpr("lo", "hi", f"explode({pair}) AS x").select("lo", "hi", "x.parts", "x.taken")
     one = members[0]
     split = nodes.select(F.explode(F.array(
         F.struct(lo.alias("lo"), middle.alias("hi"), one["part"].alias("part"), taken.alias("rows")),
