@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tablemill.llm import contamination, quality_model, quality_rules, sharding, similar, token_counts
+from tablemill.llm import contamination, packing, quality_model, quality_rules, sharding, similar, token_counts, wavelet
 from tablemill.sources.tables import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -58,3 +58,13 @@ def op9_jaccard_join(spark, folder):
 def op5_token_counts(spark, folder):
     counts = token_counts.count_tokens(read_table(spark, folder, "documents"))
     return counts.withColumn("over_limit", F.col("n_tokens") > token_counts.LIMIT)
+
+
+@query("op6_packing")
+def op6_packing(spark, folder):
+    return packing.pack_documents(read_table(spark, folder, "documents"))
+
+
+@query("op8_wavelet_shards")
+def op8_wavelet_shards(spark, folder):
+    return wavelet.encode_documents(read_table(spark, folder, "documents"))
