@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, functions as F
 from tablemill.functions.numbers import quoted
 from tablemill.llm.base import prepared, slim, text_groups
 from tablemill.llm.runs import Forest, map_runs
-from tablemill.llm.words import grams, hashed_words, mix
+from tablemill.llm.words import distinct_grams, hashed_words, minhash
 from tablemill.operators.cluster.components import connected_components
 from tablemill.operators.joins import small_side
 from tablemill.session import checkpointed, materialised
@@ -30,9 +30,6 @@ TOLERANCE = 1e-6
 #: Rows of two blocks that one task compares by signature, and rows and characters that it compares exactly.
 SIGNATURE_BLOCK, EXACT_BLOCK, EXACT_CHARS = 1024, 512, 4_000_000
 
-_seeds = mix(np.arange(1, 2 * HASHES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-FACTORS, SHIFTS = _seeds[:HASHES] | np.uint64(1), _seeds[HASHES:]
-
 
 def least_matches(threshold: float = THRESHOLD, tolerance: float = TOLERANCE) -> dict[int, int]:
     """After n compared values, the matches below which a pair is dropped.
@@ -52,31 +49,13 @@ def least_matches(threshold: float = THRESHOLD, tolerance: float = TOLERANCE) ->
 
 def shingle_sets(texts: list[str | None], size: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
     """(hashes, counts): the sorted different shingles of every text. A shorter text is one shingle."""
-    hashes, counts = hashed_words(texts)
-    value, who, _ = grams(hashes, counts, size, short=True)
-    order = np.lexsort((value, who))
-    value, who = value[order], who[order]
-    new = np.ones(len(value), bool)
-    new[1:] = (value[1:] != value[:-1]) | (who[1:] != who[:-1])
-    return value[new], np.bincount(who[new], minlength=len(texts))
-
-
-def signatures(value: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """MinHash values of every set, one row each; rows of empty sets are 0."""
-    out = np.zeros((len(counts), HASHES), np.uint32)
-    filled = np.flatnonzero(counts)
-    if len(filled):
-        cuts = (np.cumsum(counts) - counts)[filled]
-        for k in range(HASHES):
-            moved = ((value * FACTORS[k] + SHIFTS[k]) >> np.uint64(32)).astype(np.uint32)
-            out[filled, k] = np.minimum.reduceat(moved, cuts)
-    return out
+    return distinct_grams(*hashed_words(texts), size)
 
 
 def _sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in text_groups(batches):
         value, counts = shingle_sets(pdf["text"].tolist())
-        signed = signatures(value, counts)
+        signed = minhash(value, counts, HASHES)
         ends = np.cumsum(counts)
         nodes = [hashlib.md5(value[e - c:e].tobytes()).digest() if c else None for e, c in zip(ends, counts)]
         yield pd.DataFrame({"doc_id": pdf["doc_id"], "print": pdf["print"], "node": nodes,
@@ -179,6 +158,22 @@ def _edges(reps: DataFrame) -> DataFrame:
     return map_runs(members, ["bucket", "i", "j"], _candidates, "a binary, b binary").distinct()
 
 
+def exact_links(texts: DataFrame) -> DataFrame:
+    """(node, links, root): exact links of every text (node, group, copies, text) to the others of its group.
+
+    ``links`` counts the copies of the texts linked to it, ``root`` is a linked node (or itself). A group
+    beyond one task's share is cut into blocks, and every pair of blocks meets once.
+    """
+    size = texts.groupBy("group").agg(F.count(F.lit(1)).alias("n"), F.sum(F.char_length("text")).alias("chars"))
+    need = F.greatest(F.col("n") / EXACT_BLOCK, F.col("chars") / EXACT_CHARS)
+    blocks = F.when(need <= 1, 1).otherwise(F.ceil(2 * need)).cast("int")
+    dealt = texts.join(small_side(size.select("group", blocks.alias("blocks"))), "group")
+    dealt = dealt.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    dealt = dealt.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")).select(
+        "node", "group", "copies", "text", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+    return checkpointed(map_runs(dealt, ["group", "i", "j"], _verify, "node binary, links long, root binary"))
+
+
 def similar_documents(docs: DataFrame) -> DataFrame:
     """(doc_id, print, class_id, n_links, n_copies, first) of every document.
 
@@ -192,7 +187,7 @@ def similar_documents(docs: DataFrame) -> DataFrame:
     is written per pair. A text of fewer than five words is one shingle. A text without words, or NULL, is
     alone: class_id is its doc_id and it has no links. Repeated rows are copies of each other.
     """
-    spark = prepared(docs.sparkSession)
+    prepared(docs.sparkSession)
     light = slim(docs, doc_id="doc_id", text="text").withColumn("print", F.xxhash64("text"))
     kind = light.schema["doc_id"].dataType.simpleString()
     signed = materialised(light.select("doc_id", "print", "text").mapInPandas(
@@ -206,15 +201,7 @@ def similar_documents(docs: DataFrame) -> DataFrame:
     wanted = small_side(members.select(F.col("rep.doc_id").alias("_id"), F.col("rep.print").alias("_print"), "node", "group", "copies"), True)
     texts = light.join(wanted, light["doc_id"].eqNullSafe(F.col("_id")) & (light["print"] == F.col("_print")))
     texts = materialised(texts.select("node", "group", "copies", "text").dropDuplicates(["node"]), "members")
-    size = texts.groupBy("group").agg(F.count(F.lit(1)).alias("n"), F.sum(F.char_length("text")).alias("chars"))
-    need = F.greatest(F.col("n") / EXACT_BLOCK, F.col("chars") / EXACT_CHARS)
-    blocks = F.when(need <= 1, 1).otherwise(F.ceil(2 * need)).cast("int")
-    size = size.select("group", blocks.alias("blocks"))
-    dealt = texts.join(small_side(size), "group")
-    dealt = dealt.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    dealt = dealt.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")).select(
-        "node", "group", "copies", "text", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
-    found = checkpointed(map_runs(dealt, ["group", "i", "j"], _verify, "node binary, links long, root binary"))
+    found = exact_links(texts)
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
     classes = connected_components(found.select(F.col("node").alias("a"), F.col("root").alias("b")))
     nodes = reps.select("node", "rep", "copies").join(small_side(links), "node", "left").join(
@@ -223,7 +210,6 @@ def similar_documents(docs: DataFrame) -> DataFrame:
     nodes = materialised(nodes, "nodes")
     first = nodes.groupBy("label").agg(F.min("rep").alias("top"))
     nodes = nodes.join(first, "label").select("node", "copies", "links", "top")
-    del spark
     out = signed.select("doc_id", "print", "node").join(nodes, "node", "left")
     alone = F.col("node").isNull()
     return out.select(

@@ -152,3 +152,36 @@ def grams(hashes: np.ndarray, counts: np.ndarray, size: int, short: bool = False
         order = np.argsort(who, kind="stable")
         out, who, first = out[order], who[order], first[order]
     return out, who, first
+
+
+def sequence_hashes(hashes: np.ndarray, counts: np.ndarray, seed: int = 0) -> np.ndarray:
+    """One hash for the words of each text, in their order; 0 words give the hash of nothing."""
+    up, down = powers(len(hashes) + 1)
+    sums = np.zeros(len(hashes) + 1, np.uint64)
+    np.cumsum(mix(hashes + np.uint64(seed)) * up[:len(hashes)], out=sums[1:])
+    ends = np.cumsum(counts)
+    begins = ends - counts
+    return mix((sums[ends] - sums[begins]) * down[begins] + counts.astype(np.uint64) + np.uint64(seed))
+
+
+def distinct_grams(hashes: np.ndarray, counts: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, counts): the sorted different runs of ``size`` words of every text. A shorter text is one run."""
+    value, who, _ = grams(hashes, counts, size, short=True)
+    order = np.lexsort((value, who))
+    value, who = value[order], who[order]
+    new = np.ones(len(value), bool)
+    new[1:] = (value[1:] != value[:-1]) | (who[1:] != who[:-1])
+    return value[new], np.bincount(who[new], minlength=len(counts))
+
+
+def minhash(value: np.ndarray, counts: np.ndarray, size: int) -> np.ndarray:
+    """``size`` MinHash values of every set, one row each; rows of empty sets are 0."""
+    seeds = mix(np.arange(1, 2 * size + 1, dtype=np.uint64) * np.uint64(BASE))
+    out = np.zeros((len(counts), size), np.uint32)
+    filled = np.flatnonzero(counts)
+    if len(filled):
+        cuts = (np.cumsum(counts) - counts)[filled]
+        for k in range(size):
+            moved = ((value * (seeds[2 * k] | np.uint64(1)) + seeds[2 * k + 1]) >> np.uint64(32)).astype(np.uint32)
+            out[filled, k] = np.minimum.reduceat(moved, cuts)
+    return out
