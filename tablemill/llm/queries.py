@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tablemill.llm import contamination, packing, paragraphs, quality_model, quality_rules, sharding, similar, token_counts, wavelet
+from tablemill.llm import contamination, licences, packing, paragraphs, quality_model, quality_rules, sharding, similar, token_counts, wavelet
 from tablemill.sources.tables import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -73,3 +73,8 @@ def op8_wavelet_shards(spark, folder):
 @query("op2_paragraph_dedup")
 def op2_paragraph_dedup(spark, folder):
     return paragraphs.repeated_pairs(read_table(spark, folder, "documents"))
+
+
+@query("op10_licence_scan")
+def op10_licence_scan(spark, folder):
+    return licences.scan(licences.document_paths(read_table(spark, folder, "documents"))).drop("text")
