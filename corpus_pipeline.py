@@ -4,10 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tablemill.llm import stages
 from tablemill.session import materialised
 from tablemill.sources.tables import read_table
 
-STAGES: list = []
+STAGES = [
+    ("quality_classifier", stages.good_documents),
+    ("ngram_jaccard_join", stages.different_documents),
+    ("substring_dedup", stages.unrepeated_passages),
+    ("benchmark_decontamination", stages.uncontaminated),
+    ("packing", stages.packed),
+]
 #: The classifier is trained and the packer uses a tokenizer, which SQL cannot express.
 ORACLE_SQL = None
 

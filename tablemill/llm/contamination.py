@@ -126,20 +126,20 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, mode: str = "documents"
     found = contamination(docs, benchmark, window)
     own = F.xxhash64(quoted("text"))
     if mode == "documents":
-        bad = found.where("contaminated").select(F.col("doc_id").alias("_bad_id"), F.col("print").alias("_bad_print"))
-        same = quoted("doc_id").eqNullSafe(F.col("_bad_id")) & (own == F.col("_bad_print"))
+        bad = found.where("contaminated").select(F.col("doc_id").alias("__llm_bad_id"), F.col("print").alias("__llm_bad_print"))
+        same = quoted("doc_id").eqNullSafe(F.col("__llm_bad_id")) & (own == F.col("__llm_bad_print"))
         return docs.join(small_side(bad), same, "left_anti")
     if mode != "spans":
         raise ValueError("mode is 'documents' or 'spans'")
     hit = found.where("n_hit > 0").select(
-        F.col("doc_id").alias("_bad_id"), F.col("print").alias("_bad_print"), F.col("spans").alias("_spans"))
-    same = quoted("doc_id").eqNullSafe(F.col("_bad_id")) & (own == F.col("_bad_print"))
+        F.col("doc_id").alias("__llm_bad_id"), F.col("print").alias("__llm_bad_print"), F.col("spans").alias("__llm_spans"))
+    same = quoted("doc_id").eqNullSafe(F.col("__llm_bad_id")) & (own == F.col("__llm_bad_print"))
     separator = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]*"
     mixed = WORD.replace(r"\x3A-\x60", r"\x3A-\x40\x5B-\x60")
     separator = separator.replace(r"\x3A-\x60", r"\x3A-\x40\x5B-\x60")
     pieces = F.regexp_extract_all(quoted("text"), F.lit(separator + mixed), F.lit(0))
     tail = F.regexp_extract(quoted("text"), separator + r"\z", 0)
-    stays = lambda p, i: ~F.exists("_spans", lambda s: (i + 1 >= s["start"]) & (i + 1 < s["start"] + s["size"]))
-    text = F.when(F.col("_spans").isNull(), quoted("text")).otherwise(F.concat(F.array_join(F.filter(pieces, stays), ""), tail))
+    stays = lambda p, i: ~F.exists("__llm_spans", lambda s: (i + 1 >= s["start"]) & (i + 1 < s["start"] + s["size"]))
+    text = F.when(F.col("__llm_spans").isNull(), quoted("text")).otherwise(F.concat(F.array_join(F.filter(pieces, stays), ""), tail))
     joined = docs.join(small_side(hit), same, "left")
     return joined.select(*[text.alias(c) if c == "text" else quoted(c) for c in docs.columns])

@@ -122,28 +122,28 @@ def scan(files: DataFrame, path_col: str = "path", text_col: str = "text") -> Da
     idf, unseen = inverse_frequencies(files, text_col)
     best = F.expr(best_statement(text_col, idf, unseen))
     size = F.size(F.regexp_extract_all(F.lower(F.coalesce(quoted(text_col), F.lit(""))), F.lit(TERM), F.lit(0)))
-    own = F.col("_best")
-    marked = attach(files, {"_best": best, "_dir": F.regexp_extract(quoted(path_col), r"^(.*)/[^/]*$", 1)})
+    own = F.col("__llm_best")
+    marked = attach(files, {"__llm_best": best, "__llm_dir": F.regexp_extract(quoted(path_col), r"^(.*)/[^/]*$", 1)})
     speaks = own.isNotNull() & (quoted(path_col).rlike(FILE_NAME) | (SHARE * own["words"] >= size))
-    marked = attach(marked, {"_speaks": speaks})
-    keys = marked.select("_dir", "_speaks", "_best")
-    keys = materialised(keys.where("_dir IS NOT NULL").groupBy("_dir").agg(
-        F.min(F.when(F.col("_speaks"), F.struct(own["minus"], own["licence"]))).alias("said")), "directories")
-    said = checkpointed(keys.where("said IS NOT NULL").select(F.col("_dir").alias("above"), "said"))
-    steps = F.split("_dir", "/")
+    marked = attach(marked, {"__llm_speaks": speaks})
+    keys = marked.select("__llm_dir", "__llm_speaks", "__llm_best")
+    keys = materialised(keys.where("__llm_dir IS NOT NULL").groupBy("__llm_dir").agg(
+        F.min(F.when(F.col("__llm_speaks"), F.struct(own["minus"], own["licence"]))).alias("said")), "directories")
+    said = checkpointed(keys.where("said IS NOT NULL").select(F.col("__llm_dir").alias("above"), "said"))
+    steps = F.split("__llm_dir", "/")
     level = F.explode(F.sequence(F.lit(1), F.size(steps))).alias("level")
-    chain = keys.select("_dir", level).withColumn("above", F.array_join(F.slice(steps, F.lit(1), F.col("level")), "/"))
-    nearest = chain.join(small_side(said, True), "above").groupBy("_dir").agg(
-        F.max(F.struct("level", "above", "said")).alias("_near"))
-    out = marked.join(small_side(nearest), "_dir", "left")
-    near = F.col("_near")
+    chain = keys.select("__llm_dir", level).withColumn("above", F.array_join(F.slice(steps, F.lit(1), F.col("level")), "/"))
+    nearest = chain.join(small_side(said, True), "above").groupBy("__llm_dir").agg(
+        F.max(F.struct("level", "above", "said")).alias("__llm_near"))
+    out = marked.join(small_side(nearest), "__llm_dir", "left")
+    near = F.col("__llm_near")
     none = own.isNull()
     return attach(out, {
         "licence": F.when(none, near["said"]["licence"]).otherwise(own["licence"]),
         "score": -F.when(none, near["said"]["minus"]).otherwise(own["minus"]),
         "found": F.when(~none, "own").when(near.isNotNull(), "inherited"),
         "from_dir": F.when(none, near["above"]),
-    }).drop("_best", "_dir", "_speaks", "_near")
+    }).drop("__llm_best", "__llm_dir", "__llm_speaks", "__llm_near")
 
 
 def document_paths(docs: DataFrame) -> DataFrame:

@@ -118,9 +118,9 @@ def _near_paragraphs(light: DataFrame, lines: DataFrame) -> DataFrame:
     place = F.min(F.struct("doc_id", "print", "start", "size")).alias("at")
     reps = lines.join(small_side(groups), "one").groupBy("one", "two", "group").agg(place)
     reps = reps.select(_node().alias("node"), "group", "at.*")
-    wanted = reps.groupBy(F.col("doc_id").alias("_id"), F.col("print").alias("_print")).agg(
+    wanted = reps.groupBy(F.col("doc_id").alias("__llm_id"), F.col("print").alias("__llm_print")).agg(
         F.collect_list(F.struct("node", "group", "start", "size")).alias("wanted"))
-    same = light["doc_id"].eqNullSafe(F.col("_id")) & (light["print"] == F.col("_print"))
+    same = light["doc_id"].eqNullSafe(F.col("__llm_id")) & (light["print"] == F.col("__llm_print"))
     texts = light.join(small_side(wanted), same).select("text", "wanted")
     texts = texts.mapInPandas(_texts_of, "node binary, group long, text string").dropDuplicates(["node"])
     found = exact_links(materialised(texts.withColumn("copies", F.lit(1).cast("long")), "paragraphs"))
@@ -203,11 +203,11 @@ def _without(texts: pd.Series, pieces: pd.Series) -> pd.Series:
 
 def remove_repeated(docs: DataFrame) -> DataFrame:
     """``docs`` without the repeated passages; documents that lose all their words go. A column ``n_chars`` is kept true."""
-    found = repeated_passages(docs).groupBy(F.col("doc_id").alias("_id"), F.col("print").alias("_print")).agg(
-        F.collect_set(F.struct("start", "size")).alias("_pieces"))
-    same = quoted("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64(quoted("text")) == F.col("_print"))
-    joined = docs.join(small_side(found), same, "left").withColumn("_left", F.pandas_udf(_without, "string")(quoted("text"), F.col("_pieces")))
-    emptied = F.col("_pieces").isNotNull() & ~F.coalesce(F.col("_left"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
-    own = {"text": F.col("_left"), "n_chars": F.when(F.col("_pieces").isNull(), quoted("n_chars")).otherwise(
-        F.char_length("_left")).cast(docs.schema["n_chars"].dataType) if "n_chars" in docs.columns else None}
+    found = repeated_passages(docs).groupBy(F.col("doc_id").alias("__llm_id"), F.col("print").alias("__llm_print")).agg(
+        F.collect_set(F.struct("start", "size")).alias("__llm_pieces"))
+    same = quoted("doc_id").eqNullSafe(F.col("__llm_id")) & (F.xxhash64(quoted("text")) == F.col("__llm_print"))
+    joined = docs.join(small_side(found), same, "left").withColumn("__llm_left", F.pandas_udf(_without, "string")(quoted("text"), F.col("__llm_pieces")))
+    emptied = F.col("__llm_pieces").isNotNull() & ~F.coalesce(F.col("__llm_left"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
+    own = {"text": F.col("__llm_left"), "n_chars": F.when(F.col("__llm_pieces").isNull(), quoted("n_chars")).otherwise(
+        F.char_length("__llm_left")).cast(docs.schema["n_chars"].dataType) if "n_chars" in docs.columns else None}
     return joined.where(~emptied).select(*[own[c].alias(c) if c in own else quoted(c) for c in docs.columns])

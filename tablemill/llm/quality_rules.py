@@ -97,11 +97,11 @@ def apply_rules(df: DataFrame, text_col: str = "text", rules: list[Rule] | None
     rows, ties and an empty table need no care; an input column named like a result is replaced. Very
     long texts are sorted only if an 8-word window repeats in them.
     """
-    m = F.col("_measures")
+    m = F.col("__llm_measures")
     words = m["n_words"]
     failed = (words < 20) | (100 * m["n_repeat_words"] > 30 * words)
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
-    out = attach(df, {"_measures": measures(quoted(text_col))})
+    out = attach(df, {"__llm_measures": measures(quoted(text_col))})
     out = attach(out, {n: m[n] for n in names} | {
         "base_failed": failed, "kept": ~failed & passes(m, RULES if rules is None else rules)})
-    return out.drop("_measures")
+    return out.drop("__llm_measures")

@@ -107,26 +107,26 @@ def uniform_shards(df: DataFrame, shards: int, keys: list[str], seed: int = 0, r
     """
     prepared(df.sparkSession)
     key = [quoted(k) for k in keys]
-    local = df.withColumn("_first", F.xxhash64(F.lit(seed), F.lit("local"), *key)).sortWithinPartitions("_first", *key)
-    local = local.withColumn("_at", F.monotonically_increasing_id()).drop("_first")
+    local = df.withColumn("__llm_first", F.xxhash64(F.lit(seed), F.lit("local"), *key)).sortWithinPartitions("__llm_first", *key)
+    local = local.withColumn("__llm_at", F.monotonically_increasing_id()).drop("__llm_first")
     local = materialised(local, "sharding")
-    part, place = F.shiftright("_at", 33), F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
+    part, place = F.shiftright("__llm_at", 33), F.col("__llm_at").bitwiseAND(F.lit((1 << 33) - 1))
     counts = checkpointed(local.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("rows")))
     matrix = communication_matrix(counts, shards, seed)
     ends = matrix.withColumn("end", F.sum("sent").over(Window.partitionBy("part").orderBy("shard")))
-    ends = ends.groupBy(F.col("part").alias("_part")).agg(F.sort_array(F.collect_list("end")).alias("_ends"))
-    sent = local.withColumn("_part", part).join(small_side(ends), "_part")
+    ends = ends.groupBy(F.col("part").alias("__llm_part")).agg(F.sort_array(F.collect_list("end")).alias("__llm_ends"))
+    sent = local.withColumn("__llm_part", part).join(small_side(ends), "__llm_part")
     rows = counts.agg(F.coalesce(F.sum("rows"), F.lit(0))).first()[0]
     runs = max(1, -(-rows // (shards * run_rows)))
     last = unit(F.lit(seed), F.lit("last"), *key, part, place)
-    sent = attach(sent, {"shard": F.size(F.filter("_ends", lambda e: e <= place)), "_last": last})
-    sent = sent.withColumn("_run", F.floor(F.col("_last") * runs).cast("int"))
-    before = sent.groupBy("shard", "_run").agg(F.count(F.lit(1)).alias("_n"))
-    before = before.withColumn("_before", F.sum("_n").over(Window.partitionBy("shard").orderBy("_run")) - F.col("_n"))
-    placed = sent.join(small_side(before.drop("_n")), ["shard", "_run"])
-    turn = F.row_number().over(Window.partitionBy("shard", "_run").orderBy("_last", "_at"))
-    out = attach(placed, {"slot": F.col("_before") + turn - 1})
-    return out.drop("_at", "_part", "_ends", "_last", "_run", "_before")
+    sent = attach(sent, {"shard": F.size(F.filter("__llm_ends", lambda e: e <= place)), "__llm_last": last})
+    sent = sent.withColumn("__llm_run", F.floor(F.col("__llm_last") * runs).cast("int"))
+    before = sent.groupBy("shard", "__llm_run").agg(F.count(F.lit(1)).alias("__llm_n"))
+    before = before.withColumn("__llm_before", F.sum("__llm_n").over(Window.partitionBy("shard").orderBy("__llm_run")) - F.col("__llm_n"))
+    placed = sent.join(small_side(before.drop("__llm_n")), ["shard", "__llm_run"])
+    turn = F.row_number().over(Window.partitionBy("shard", "__llm_run").orderBy("__llm_last", "__llm_at"))
+    out = attach(placed, {"slot": F.col("__llm_before") + turn - 1})
+    return out.drop("__llm_at", "__llm_part", "__llm_ends", "__llm_last", "__llm_run", "__llm_before")
 
 
 def shard_documents(docs: DataFrame, shards: int = 8, seed: int = 11) -> DataFrame:

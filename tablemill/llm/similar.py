@@ -198,8 +198,8 @@ def similar_documents(docs: DataFrame) -> DataFrame:
     groups = connected_components(_edges(reps)).withColumnRenamed("label", "group")
     members = checkpointed(groups.join(reps.select("node", "rep", "copies"), "node"))
 
-    wanted = small_side(members.select(F.col("rep.doc_id").alias("_id"), F.col("rep.print").alias("_print"), "node", "group", "copies"), True)
-    texts = light.join(wanted, light["doc_id"].eqNullSafe(F.col("_id")) & (light["print"] == F.col("_print")))
+    wanted = small_side(members.select(F.col("rep.doc_id").alias("__llm_id"), F.col("rep.print").alias("__llm_print"), "node", "group", "copies"), True)
+    texts = light.join(wanted, light["doc_id"].eqNullSafe(F.col("__llm_id")) & (light["print"] == F.col("__llm_print")))
     texts = materialised(texts.select("node", "group", "copies", "text").dropDuplicates(["node"]), "members")
     found = exact_links(texts)
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
@@ -226,16 +226,16 @@ def one_per_class(docs: DataFrame) -> DataFrame:
     """
     found = materialised(similar_documents(docs), "classes")
     own = F.xxhash64(quoted("text"))
-    marked = docs.withColumn("_own", own)
+    marked = docs.withColumn("__llm_own", own)
 
     def same(table: DataFrame):
-        named = small_side(table.select(F.col("doc_id").alias("_id"), F.col("print").alias("_print")).distinct())
-        return named, quoted("doc_id").eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_print"))
+        named = small_side(table.select(F.col("doc_id").alias("__llm_id"), F.col("print").alias("__llm_print")).distinct())
+        return named, quoted("doc_id").eqNullSafe(F.col("__llm_id")) & (F.col("__llm_own") == F.col("__llm_print"))
 
     drop, on = same(found.where("NOT first"))
     kept = marked.join(drop, on, "left_anti")
     repeated = found.where("first AND n_copies > 0").groupBy("doc_id", "print").count().where("count > 1")
     twice, on = same(repeated)
     single = kept.join(twice, on, "left_anti")
-    more = kept.join(twice, on, "left_semi").dropDuplicates(["doc_id", "_own"])
-    return single.unionByName(more).drop("_own")
+    more = kept.join(twice, on, "left_semi").dropDuplicates(["doc_id", "__llm_own"])
+    return single.unionByName(more).drop("__llm_own")
