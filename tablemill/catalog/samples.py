@@ -146,7 +146,7 @@ def smp5b(spark, d):
 @query("win6_nearest_to_centres")
 def win6(spark, d):
     df = read_table(spark, d, "orders").select("o_orderkey", "o_totalprice", F.col("o_custkey").cast("double").alias("customer"))
-    return sampling.nearest_to_centres(df, "o_orderkey", ["o_totalprice", "customer"], None, 200, max_clusters=20)
+    return sampling.nearest_to_centres(df, "o_orderkey", ["o_totalprice", "customer"], None, 200, n_clusters=20)
 
 
 SAMPLE_SQL = f"s AS (SELECT * FROM orders ORDER BY {HASH.format(c='o_orderkey')} LIMIT 5000)"

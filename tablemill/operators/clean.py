@@ -30,7 +30,7 @@ def fill(df: DataFrame, values: dict[str, object]) -> DataFrame:
 
 def median_impute(df: DataFrame, cols: list[str], default: float = 0.0) -> DataFrame:
     found = quantiles(df, cols, [0.5])
-    return fill(df, {c: float(found[c][0]) if c in found else default for c in cols})
+    return fill(df, {c: default if found[c][0] is None else float(found[c][0]) for c in cols})
 
 
 Plan = tuple[list[str], dict[str, object], list[tuple]]
@@ -42,7 +42,7 @@ def plan_nutrition(df: DataFrame, p: dict[str, ColumnProfile], limit: float = 0.
     cols = [c for c in nutrition_columns(df.columns) if c in numeric and c in p]
     dropped = [c for c in cols if p[c].null_ratio > limit]
     rest = [c for c in cols if c not in dropped and p[c].nulls]
-    found = {c: q[0] for c, q in quantiles(df, rest, [0.5]).items()} if rest else {}
+    found = {c: q[0] for c, q in quantiles(df, rest, [0.5]).items() if q[0] is not None} if rest else {}
     log = [(c, "removed_column", "nulls") for c in dropped]
     log += [(c, "imputed_median", f"{m:.2f}") for c, m in found.items()]
     return dropped, found, log
@@ -103,7 +103,7 @@ def per_serving_to_100g(df: DataFrame, quantity: str = "serving_quantity") -> Da
 def iqr_bounds(df: DataFrame, cols: list[str], factor: float = 1.5, at_most: int | None = None,
                ) -> dict[str, tuple[float, float]]:
     return {c: (q1 - factor * (q3 - q1), q3 + factor * (q3 - q1))
-            for c, (q1, q3) in quantiles(df, cols, [0.25, 0.75], at_most=at_most).items()}
+            for c, (q1, q3) in quantiles(df, cols, [0.25, 0.75], at_most=at_most).items() if q1 is not None}
 
 
 def iqr_filter(df: DataFrame, cols: list[str], factor: float = 1.5, mode: str = "sequential") -> DataFrame:
@@ -115,8 +115,8 @@ def iqr_filter(df: DataFrame, cols: list[str], factor: float = 1.5, mode: str =
     """
     if mode == "simultaneous":
         bounds = iqr_bounds(df, cols, factor)
-        for c, (low, high) in bounds.items():
-            df = df.where(quoted(c).between(low, high))
+        for c in cols:
+            df = df.where(quoted(c).between(*bounds[c])) if c in bounds else df.where(F.lit(False))
         return df
     rows = df.count()
     for c in cols:

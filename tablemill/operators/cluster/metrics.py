@@ -12,7 +12,7 @@ from tablemill.functions.numbers import quoted
 from tablemill.operators.joins import small_side
 
 BLOCK_ROWS = 2_000
-EXACT_SILHOUETTE_ROWS = 5_000
+KINDS = ("squared", "euclidean")
 
 
 def squared_distance(a: Column, b: Column) -> Column:
@@ -163,18 +163,20 @@ def silhouette_euclidean(df: DataFrame, cols: list[str], id_col: str, cluster: s
 
 
 def silhouette(df: DataFrame, cols: list[str], id_col: str, cluster: str = "cluster",
-               exact_rows: int = EXACT_SILHOUETTE_ROWS) -> tuple[str, float | None]:
-    """(kind, value): Euclidean for small tables, squared beyond ``exact_rows``."""
-    if df.count() <= exact_rows:
-        return "euclidean", silhouette_euclidean(df, cols, id_col, cluster)
-    return "squared", silhouette_squared(df, cols, cluster)
+               kind: str = "squared") -> float | None:
+    """Mean silhouette of the named kind: ``squared`` distances in linear time, or ``euclidean`` in quadratic."""
+    if kind not in KINDS:
+        raise ValueError(f"unknown silhouette {kind}")
+    if kind == "euclidean":
+        return silhouette_euclidean(df, cols, id_col, cluster)
+    return silhouette_squared(df, cols, cluster)
 
 
 def score(df: DataFrame, cols: list[str], id_col: str, method: str, cluster: str = "cluster",
-          exact_rows: int = EXACT_SILHOUETTE_ROWS) -> float | None:
+          kind: str = "squared") -> float | None:
     """One number to maximise: silhouette, calinski_harabasz, minus davies_bouldin or minus inertia."""
     if method == "silhouette":
-        return silhouette(df, cols, id_col, cluster, exact_rows)[1]
+        return silhouette(df, cols, id_col, cluster, kind)
     s = spread_scores(df, cols, cluster)
     if method == "calinski_harabasz":
         return s["calinski_harabasz"]
@@ -184,9 +186,9 @@ def score(df: DataFrame, cols: list[str], id_col: str, method: str, cluster: str
 
 
 def metrics_row(df: DataFrame, cols: list[str], id_col: str, cluster: str = "cluster",
-                exact_rows: int = EXACT_SILHOUETTE_ROWS) -> dict:
+                kind: str = "squared") -> dict:
     """All scores of one labelling."""
     s = spread_scores(df, cols, cluster)
-    kind, value = silhouette(df, cols, id_col, cluster, exact_rows) if s["n_labels"] > 1 else ("none", None)
-    return {"silhouette_kind": kind, "silhouette": value, "calinski_harabasz": s["calinski_harabasz"],
+    value = silhouette(df, cols, id_col, cluster, kind) if s["n_labels"] > 1 else None
+    return {"silhouette_kind": kind if s["n_labels"] > 1 else "none", "silhouette": value, "calinski_harabasz": s["calinski_harabasz"],
             "davies_bouldin": s["davies_bouldin"], "inertia": s["inertia"]}

@@ -103,7 +103,7 @@ def to_numeric_table(df: DataFrame, min_valid_ratio: float = 0.05, id_cols: list
         raise ValueError("no numeric column found")
     numbers = df.select(*[quoted(c) for c in id_cols], *[finite(parsed[c]).alias(c) for c in kept])
     medians = {c: q[0] for c, q in quantiles(numbers, kept, [0.5]).items()}
-    fill = {c: float(medians.get(c, 0.0)) for c in kept}
+    fill = {c: float(medians[c] or 0.0) for c in kept}
     return numbers.select(
         *[quoted(c) for c in id_cols],
         *[F.coalesce(quoted(c), F.lit(fill[c])).alias(c) for c in kept]), fill

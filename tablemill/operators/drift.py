@@ -128,6 +128,8 @@ def numeric_drift(original: DataFrame, sample: DataFrame, cols: list[str]) -> Da
     rows = []
     for i, c in enumerate(cols):
         unit = a[f"s{i}"] or 1.0
+        if a[f"m{i}"] is None or b[f"m{i}"] is None:  # a side without values cannot be compared
+            continue
         rows += [(c, "mean_difference", abs(a[f"m{i}"] - b[f"m{i}"]) / unit),
                  (c, "std_difference", abs(a[f"s{i}"] - b[f"s{i}"]) / unit),
                  (c, "ks_statistic", ks[c][0]), (c, "ks_pvalue", kolmogorov_p(*ks[c]))]

@@ -16,8 +16,6 @@ from tablemill.operators.ranks import value_counts
 from tablemill.operators.reports import value_shares
 from tablemill.operators.types import dictionary
 
-MAX_NAMED_COLUMNS = 1000
-
 
 @dataclass(frozen=True)
 class EncodingConfig:
@@ -40,12 +38,10 @@ def label_encode(df: DataFrame, cols: list[str], missing: str = "nan") -> DataFr
     return out
 
 
-def categories_of(df: DataFrame, col: str, limit: int = MAX_NAMED_COLUMNS) -> list[str]:
-    """Sorted categories of one column, refused when there are too many to become columns."""
-    rows = value_counts(df, [col]).select("value").limit(limit + 1).collect()
-    if len(rows) > limit:
-        raise ValueError(f"{col} has more than {limit} categories: use one_hot_vectors")
-    return sorted(r["value"] for r in rows)
+def categories_of(df: DataFrame, col: str) -> list[str]:
+    """Sorted categories of one column. Each becomes a column of its own; for columns with very many,
+    ``one_hot_vectors`` keeps them in one sparse vector instead."""
+    return sorted(r["value"] for r in value_counts(df, [col]).select("value").collect())
 
 
 def one_hot_columns(df: DataFrame, cols: list[str], categories: dict[str, list[str]] | None = None) -> DataFrame:
@@ -226,9 +222,7 @@ class StoredEncoder:
         for c in [c for c in cols if c in df.columns]:
             if self.method == "onehot":
                 table = self.table(df, c)
-                values = [r["value"] for r in table.limit(MAX_NAMED_COLUMNS + 1).collect()]
-                if len(values) > MAX_NAMED_COLUMNS:
-                    raise ValueError(f"{c} has too many categories for named columns")
+                values = [r["value"] for r in table.select("value").collect()]
                 df = df.withColumns({f"{c}_{v}": F.coalesce((quoted(c) == v).cast("int"), F.lit(0))
                                      for v in sorted(values)})
             elif self.method == "hashing":
@@ -245,7 +239,7 @@ def cluster_categories(df: DataFrame, col: str, n_clusters: int = 5, seed: int =
     """(value, n, cluster): group the texts of a column by tf-idf weight and k-means.
 
     Works on distinct values weighted by their counts, so repeated texts cost one row. Document
-    frequencies are sums of those counts.
+    frequencies are sums of those counts. Every word of the column is a feature; none is dropped.
     """
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.feature import CountVectorizer, ElementwiseProduct, Normalizer, RegexTokenizer
@@ -254,16 +248,26 @@ def cluster_categories(df: DataFrame, col: str, n_clusters: int = 5, seed: int =
     values = value_counts(df, [col]).select("value", "n")
     tokens = RegexTokenizer(inputCol="value", outputCol="words", pattern=r"[^\p{L}\p{N}_]+", minTokenLength=2
                             ).transform(values)
-    model = CountVectorizer(inputCol="words", outputCol="counts").fit(tokens)
+    words = tokens.select(F.explode("words").alias("word")).agg(F.count_distinct("word")).first()[0]
+    model = CountVectorizer(inputCol="words", outputCol="counts", vocabSize=max(words, 1)).fit(tokens)
     total = df.where(quoted(col).isNotNull()).count()
     vocabulary = model.vocabulary
-    # the vectorizer caps the vocabulary, so neither table below can outgrow it
-    known = small_side(df.sparkSession.createDataFrame([(w,) for w in vocabulary], "word string"))
+    # the vocabulary of the vectorizer is on the driver already; this has one number per word of it
     freq = {r["word"]: r["d"] for r in tokens.select("n", F.explode(F.array_distinct("words")).alias("word"))
-            .join(known, "word").groupBy("word").agg(F.sum("n").alias("d")).collect()}
+            .groupBy("word").agg(F.sum("n").alias("d")).collect()}
     weights = [math.log((1 + total) / (1 + freq.get(w, 0))) + 1 for w in vocabulary]
     scaled = ElementwiseProduct(scalingVec=Vectors.dense(weights), inputCol="counts", outputCol="weighted")
     unit = Normalizer(inputCol="weighted", outputCol="features")
     features = unit.transform(scaled.transform(model.transform(tokens)))
     kmeans = KMeans(k=n_clusters, seed=seed, weightCol="n", featuresCol="features", predictionCol="cluster")
     return kmeans.fit(features).transform(features).select("value", "n", "cluster")
+
+
+def encode_by_cluster(df: DataFrame, cols: list[str], n_clusters: int = 5, seed: int = 42, missing: str = "nan") -> DataFrame:
+    """``df`` with every value of the columns replaced by its cluster; NULL counts as the text ``missing``."""
+    out = df
+    for c in cols:
+        filled = out.withColumn(c, F.coalesce(quoted(c).cast("string"), F.lit(missing)))
+        table = cluster_categories(filled, c, n_clusters, seed).select("value", F.col("cluster").alias("_cluster"))
+        out = lookup(filled, table, c, "value").withColumn(c, F.col("_cluster")).drop("_cluster")
+    return out.select(*[quoted(c) for c in df.columns])

@@ -6,17 +6,19 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from tablemill.functions.numbers import clip, numeric_columns, quoted
 from tablemill.operators.joins import small_side
-from tablemill.operators.ranks import global_rank, quantile_table, quantiles, smallest_by_hash
+from tablemill.operators.ranks import global_rank, quantile_table, quantiles
 
 FLAG = "is_outlier"
 
 
 def tukey_stats(df: DataFrame, col: str, threshold: float = 1.5) -> dict[str, float]:
     q1, q3 = quantiles(df, [col], [0.25, 0.75])[col]
+    if q1 is None:  # no values
+        return dict.fromkeys(("q1", "q3", "iqr", "lower_bound", "upper_bound"))
     iqr = q3 - q1
     return {"q1": q1, "q3": q3, "iqr": iqr, "lower_bound": q1 - threshold * iqr, "upper_bound": q3 + threshold * iqr}
 
@@ -24,11 +26,15 @@ def tukey_stats(df: DataFrame, col: str, threshold: float = 1.5) -> dict[str, fl
 def zscore_stats(df: DataFrame, col: str, threshold: float = 3.0, ddof: int = 0) -> dict[str, float]:
     sd = F.stddev_pop if ddof == 0 else F.stddev_samp
     mean, std = df.agg(F.avg(quoted(col)), sd(quoted(col))).first()
+    if std is None:
+        return {"mean": mean, "std": None, "lower_bound": None, "upper_bound": None}
     return {"mean": mean, "std": std, "lower_bound": mean - threshold * std, "upper_bound": mean + threshold * std}
 
 
 def flag_tukey(df: DataFrame, col: str, threshold: float = 1.5) -> tuple[DataFrame, dict]:
     s = tukey_stats(df, col, threshold)
+    if s["q1"] is None:
+        return df.withColumn(FLAG, F.lit(False)), s
     x = quoted(col)
     hit = F.coalesce((x < s["lower_bound"]) | (x > s["upper_bound"]), F.lit(False))
     return df.withColumn(FLAG, hit), s
@@ -66,28 +72,30 @@ def bounds_table(df: DataFrame, cols: list[str] | None = None, method: str = "iq
     """Bounds per column from the input rows and the report (column, n_outliers, ratio, lower, upper)."""
     cols = cols or numeric_columns(df)
     if method == "iqr":
-        bounds = {c: (a - threshold * (b - a), b + threshold * (b - a))
+        bounds = {c: (None, None) if a is None else (a - threshold * (b - a), b + threshold * (b - a))
                   for c, (a, b) in quantiles(df, cols, [0.25, 0.75]).items()}
     elif method == "zscore":
         r = df.agg(*[x for i, c in enumerate(cols) for x in (
             F.avg(quoted(c)).alias(f"m{i}"), F.stddev_samp(quoted(c)).alias(f"s{i}"))]).first()
-        bounds = {c: (r[f"m{i}"] - threshold * r[f"s{i}"], r[f"m{i}"] + threshold * r[f"s{i}"])
-                  for i, c in enumerate(cols) if r[f"s{i}"] is not None}
+        bounds = {c: (None, None) if r[f"s{i}"] is None else (
+            r[f"m{i}"] - threshold * r[f"s{i}"], r[f"m{i}"] + threshold * r[f"s{i}"]) for i, c in enumerate(cols)}
     else:
         raise ValueError(f"unknown method {method}")
     wide = df.agg(F.count(F.lit(1)).alias("n"), *[
-        F.count_if((quoted(c) < low) | (quoted(c) > high)).alias(f"o{i}")
+        (F.lit(0).cast("long") if low is None else F.count_if((quoted(c) < low) | (quoted(c) > high))).alias(f"o{i}")
         for i, (c, (low, high)) in enumerate(bounds.items())])
     report = wide.select(F.inline(F.array(*[
         F.struct(F.lit(c).alias("column"), F.col(f"o{i}").alias("n_outliers"),
-                 (F.col(f"o{i}") / F.col("n")).alias("ratio"), F.lit(float(low)).alias("lower"),
-                 F.lit(float(high)).alias("upper"))
+                 (F.col(f"o{i}") / F.col("n")).alias("ratio"), F.lit(low).cast("double").alias("lower"),
+                 F.lit(high).cast("double").alias("upper"))
         for i, (c, (low, high)) in enumerate(bounds.items())])))
     return bounds, report
 
 
 def apply_bounds(df: DataFrame, bounds: dict[str, tuple[float, float]], strategy: str = "clip") -> DataFrame:
-    """``clip`` values to their bounds or ``remove`` rows outside them; rows with NULL stay."""
+    """``clip`` values to their bounds or ``remove`` rows outside them; rows with NULL stay, and so does a
+    column without values, whose bounds are None."""
+    bounds = {c: b for c, b in bounds.items() if b[0] is not None}
     if strategy == "clip":
         return df.select(*[clip(quoted(c), *bounds[c]).alias(c) if c in bounds else quoted(c) for c in df.columns])
     if strategy == "remove":
@@ -174,31 +182,27 @@ def _mean_path(n: int) -> float:
     return 2.0 * (math.log(n - 1) + 0.5772156649015329) - 2.0 * (n - 1) / n
 
 
-def forest_fit(df: DataFrame, col: str, id_col: str, n_estimators: int = 100, seed: int = 42):
+def forest_fit(df: DataFrame, col: str, id_col: str, n_estimators: int = 100, seed: int = 42,
+               max_samples: int = TREE_ROWS):
     """Breakpoints and mean path lengths of a one-column isolation forest.
 
-    Every tree sees at most 256 rows, drawn by hash. Trees are grown in parallel, one small group
-    each, and in one dimension a tree is a step function of the value. The forest is the average of
-    those steps: at most trees x 256 numbers.
+    Every tree sees the ``max_samples`` rows with the smallest hash of (seed, tree, id). Only rows under a hash bound
+    that leaves out none of these (but by a chance of 10^-20) are dealt to a tree, so few rows move. Trees are
+    grown in parallel, one small group each, and in one dimension a tree is a step function of the value.
+    The forest is the average of those steps: at most trees x max_samples numbers.
     """
     data = df.where(quoted(col).isNotNull()).select(quoted(col).cast("double").alias("x"),
                                                     quoted(id_col).cast("string").alias("id"))
     n = data.count()
-    size = min(TREE_ROWS, n)
-    hashed = data.withColumn("h", F.md5(F.concat_ws("|", F.lit(seed), "id")))
-    pool = n_estimators * size
-    if n >= pool:
-        want = df.sparkSession.createDataFrame([(pool,)], "want long")
-        drawn = smallest_by_hash(hashed, [], "h", want, "want")
-        # the pool holds at most trees x 256 rows; deal them out in hash order
-        dealt = global_rank(drawn, ["h", "id"]).select((F.col("rank") % n_estimators).cast("int").alias("tree"), "x")
-    else:
-        trees = hashed.select("x", "id", F.explode(F.sequence(F.lit(0), F.lit(n_estimators - 1))).alias("tree"))
-        trees = trees.withColumn("h", F.md5(F.concat_ws("|", F.lit(seed), "tree", "id")))
-        quotas = trees.select("tree").distinct().withColumn("want", F.lit(size))
-        dealt = smallest_by_hash(trees, ["tree"], "h", quotas, "want").select(F.col("tree").cast("int"), "x")
-
-    def grow(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    size = min(max_samples, n)
+    bound = min(1.0, (size + 10 * math.sqrt(size) + 20) / max(n, 1))
+    draw = lambda tree: F.shiftrightunsigned(F.xxhash64(F.lit(seed), tree, F.col("id")), 11).cast("double") * F.lit(2.0 ** -53)
+    dealt = data.select("x", "id", F.explode(F.filter(F.sequence(F.lit(0), F.lit(n_estimators - 1)),
+                                                      lambda t: draw(t) <= bound)).alias("tree"))
+    place = F.row_number().over(Window.partitionBy("tree").orderBy(draw(F.col("tree")), "id", "x"))
+    dealt = dealt.withColumn("place", place).where(F.col("place") <= size).select("tree", "x")
+
+    def grow(key, pdf):
         rng = np.random.RandomState((seed + 7919 * int(key[0])) % (2**32))
         limit = math.ceil(math.log2(max(size, 2)))
         leaves = []
@@ -269,7 +273,7 @@ def lof_scores(df: DataFrame, col: str, id_col: str, n_neighbors: int = 20, bloc
     spread = ranked.select("x", "id", "rank", F.explode(homes).alias("block"))
     id_type = data.schema["id"].dataType.simpleString()
 
-    def block(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def block(key, pdf):
         pdf = pdf.sort_values("rank")
         x = pdf["x"].to_numpy()
         m = len(x)
@@ -318,8 +322,10 @@ def flagged(df: DataFrame, col: str, method: str = "tukey", id_col: str | None =
         return out.drop("score"), s
     if method == "lof":
         scores, s = flag_lof(df, col, id_col, **kw)
-        marks = scores.select(F.col("id").alias("_id"), FLAG)
-        out = df.join(marks, quoted(id_col) == F.col("_id"), "left").drop("_id")
+        # one line per (id, value), so that a repeated id cannot multiply rows
+        marks = scores.groupBy(F.col("id").alias("_id"), F.col("x").alias("_x")).agg(F.max(FLAG).alias(FLAG))
+        same = (quoted(id_col) == F.col("_id")) & (quoted(col).cast("double") == F.col("_x"))
+        out = df.join(marks, same, "left").drop("_id", "_x")
         return out.withColumn(FLAG, F.coalesce(F.col(FLAG), F.lit(False))), s
     raise ValueError(f"unknown detection method {method}")
 
@@ -339,6 +345,8 @@ def treat_outliers(df: DataFrame, col: str, strategy: str = "remove", method: st
         return marked.withColumn(col, value).drop(FLAG)
     if strategy == "cap":
         if method in ("tukey", "zscore"):
+            if s["lower_bound"] is None:
+                return df
             return df.withColumn(col, clip(quoted(col), s["lower_bound"], s["upper_bound"]))
         median = quantiles(df, [col], [0.5])[col][0]
         return marked.withColumn(col, F.when(F.col(FLAG), F.lit(median)).otherwise(quoted(col))).drop(FLAG)

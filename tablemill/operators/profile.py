@@ -17,22 +17,33 @@ def _kind(field: T.StructField) -> str:
     return "numeric" if is_numeric(field) else "text" if is_text(field) else "other"
 
 
+def _exact_type(field: T.StructField) -> str:
+    """A type that keeps different values of the field different."""
+    if isinstance(field.dataType, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
+        return "bigint"
+    if isinstance(field.dataType, T.DecimalType):
+        return field.dataType.simpleString()
+    return "double" if is_numeric(field) else "string"
+
+
 def distinct_counts(df: DataFrame) -> DataFrame:
     """(position, distinct) per column.
 
-    Values are unpivoted by type family and grouped by (column, value), with duplicates removed before
+    Values are unpivoted by exact type and grouped by (column, value), with duplicates removed before
     the shuffle. This spreads the work evenly and avoids the wide Expand of many ``count(DISTINCT ..)``.
+    Columns share a scan only if one type holds the values of all of them without loss.
     """
+    families: dict[str, list[tuple[int, T.StructField]]] = {}
+    for i, f in enumerate(df.schema):
+        if not isinstance(f.dataType, (T.ArrayType, T.MapType)):
+            families.setdefault(_exact_type(f), []).append((i, f))
     parts = []
-    for family, cast in (("numeric", "double"), ("text", "string"), ("other", "string")):
-        fields = [(i, f) for i, f in enumerate(df.schema)
-                  if _kind(f) == family and not isinstance(f.dataType, (T.ArrayType, T.MapType))]
-        if fields:
-            pairs = F.array(*[F.struct(F.lit(i).alias("position"), quoted(f.name).cast(cast).alias("value"))
-                              for i, f in fields])
-            long = df.select(F.inline(pairs)).where(F.col("value").isNotNull())
-            parts.append(long.groupBy("position", "value").agg(F.lit(1).alias("_one"))
-                         .groupBy("position").agg(F.count(F.lit(1)).alias("distinct")))
+    for cast, fields in families.items():
+        pairs = F.array(*[F.struct(F.lit(i).alias("position"), quoted(f.name).cast(cast).alias("value"))
+                          for i, f in fields])
+        long = df.select(F.inline(pairs)).where(F.col("value").isNotNull())
+        parts.append(long.groupBy("position", "value").agg(F.lit(1).alias("_one"))
+                     .groupBy("position").agg(F.count(F.lit(1)).alias("distinct")))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)

@@ -145,7 +145,22 @@ def _banded_quantiles(df, cols, probs, by, keys, accuracy):
         )
         for i, q in enumerate(probs)
     ]))
-    bands = checkpointed(stats.select(*keys, "n", probes.alias("_b")).select(*keys, "n", "_b.*"))
+    bands = checkpointed(stats.select(*keys, "n", "lowest", "highest", probes.alias("_b")).select(
+        *keys, "n", "lowest", "highest", "_b.*"))
+    picked = checkpointed(_read_bands(values, bands, keys))
+    missed = picked.where("low IS NULL OR high IS NULL").select(*keys, "probe")
+    if missed.head(1):  # the sketch was off: these positions are looked for among all values
+        wide = bands.join(missed, keys + ["probe"], "left_semi").withColumns({"lo": F.col("lowest"), "hi": F.col("highest")})
+        found = picked.where("low IS NOT NULL AND high IS NOT NULL")
+        picked = found.unionByName(_read_bands(values, checkpointed(wide), keys))
+    pos = F.col("p") * (F.col("n") - 1)
+    part = pos - F.floor(pos)
+    return picked.withColumn("value", F.col("low") * (1 - part) + F.col("high") * part).groupBy(*keys, "n").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("probe", "value"))), lambda s: s["value"]).alias("q"))
+
+
+def _read_bands(values: DataFrame, bands: DataFrame, keys: list[str]) -> DataFrame:
+    """The two values around each wanted position, NULL where they lie outside the band."""
     hit = values.join(small_side(bands, True), keys).where(F.col("value") <= F.col("hi"))
     # rows under the band collapse to one NULL-valued row, copies inside it to one weighted value
     inside = F.when(F.col("value") >= F.col("lo"), F.col("value"))
@@ -153,25 +168,16 @@ def _banded_quantiles(df, cols, probs, by, keys, accuracy):
     placed = running_total(grouped, keys + ["probe"], ["v"], "w", "before")
     pos = F.col("p") * (F.col("n") - 1)
     covers = lambda k: (F.col("before") <= k) & (k < F.col("before") + F.col("w"))
-    picked = placed.groupBy(*keys, "probe", "p", "n").agg(
+    return placed.groupBy(*keys, "probe", "p", "n").agg(
         F.max(F.when(covers(F.floor(pos)), F.col("v"))).alias("low"),
         F.max(F.when(covers(F.ceil(pos)), F.col("v"))).alias("high"),
     )
-    checked = picked.withColumn(
-        "value",
-        F.when(
-            F.col("low").isNull() | F.col("high").isNull(),
-            F.raise_error(F.lit("quantile outside its bracket: raise the accuracy")).cast("double"),
-        ).otherwise(F.col("low") * (1 - (pos - F.floor(pos))) + F.col("high") * (pos - F.floor(pos))),
-    )
-    return checked.groupBy(*keys, "n").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("probe", "value"))), lambda s: s["value"]).alias("q")
-    )
 
 
 def quantiles(df: DataFrame, cols: list[str], probs: list[float], **kw) -> dict[str, list[float]]:
-    """Quantiles of whole columns on the driver: columns x probs numbers."""
-    return {r["column"]: list(r["q"]) for r in quantile_table(df, cols, probs, **kw).collect()}
+    """Quantiles of whole columns on the driver: columns x probs numbers, None for columns without values."""
+    found = {r["column"]: list(r["q"]) for r in quantile_table(df, cols, probs, **kw).collect()}
+    return {c: found.get(c, [None] * len(probs)) for c in cols}
 
 
 def value_counts(df: DataFrame, cols: list[str], keep_null: bool = False) -> DataFrame:
@@ -229,7 +235,8 @@ def smallest_by_hash(
     ranked = rows.where(F.col("_hb") == F.col("_cut")).withColumn(
         "_rn",
         F.row_number().over(
-            Window.partitionBy(*([quoted(b) for b in by] or [F.lit(1)])).orderBy(F.col(hash_col))),
+            Window.partitionBy(*([quoted(b) for b in by] or [F.lit(1)])).orderBy(
+                F.col(hash_col), F.xxhash64(*[quoted(c) for c in df.columns]))),
     )
     part = ranked.where(F.col("_rn") <= F.col("_want")).drop("_rn")
     return whole.unionByName(part).drop("_hb", "_cut", "_want")

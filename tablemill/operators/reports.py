@@ -154,7 +154,7 @@ def distribution_summary(df: DataFrame, cols: list[str]) -> DataFrame:
         for i, c in enumerate(cols)
     ])))
     n = F.col("n")
-    return long.join(F.broadcast(medians.select("column", F.col("q")[0].alias("median"))), "column").select(
+    return long.join(F.broadcast(medians.select("column", F.col("q")[0].alias("median"))), "column", "left").select(
         "column", "mean", "median", "sd",
         F.when(n > 2, F.col("g1") * F.sqrt(n * (n - 1)) / (n - 2)).alias("skew"),
         F.when(n > 3, (n - 1) / ((n - 2) * (n - 3)) * ((n + 1) * F.col("g2") + 6)).alias("kurtosis"),
@@ -173,7 +173,7 @@ def describe_table(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
                  F.col(f"s{i}").alias("sd"), F.col(f"lo{i}").alias("min"), F.col(f"hi{i}").alias("max"))
         for i, c in enumerate(cols)
     ])))
-    return long.join(F.broadcast(q), "column").select(
+    return long.join(F.broadcast(q), "column", "left").select(
         "column", "count", "mean", "sd", "min", F.col("q")[0].alias("q25"), F.col("q")[1].alias("q50"),
         F.col("q")[2].alias("q75"), "max")
 
@@ -260,6 +260,8 @@ def contingency(df: DataFrame, a: str, b: str) -> DataFrame:
 def histogram(df: DataFrame, col: str, bins: int | None = 30) -> DataFrame:
     """(bin, low, high, n) over equal-width bins; ``bins=None`` takes min(50, floor(sqrt(rows)))."""
     stats = df.agg(F.min(quoted(col)), F.max(quoted(col)), F.count(quoted(col))).first()
+    if not stats[2]:  # no values, no bins
+        return df.sparkSession.createDataFrame([], "bin int, low double, high double, n long")
     low, high, n = float(stats[0]), float(stats[1]), stats[2]
     bins = bins or min(50, int(n**0.5))
     width = (high - low) / bins or 1.0
@@ -275,7 +277,7 @@ def box_plot_table(df: DataFrame, cols: list[str], whisker: float = 1.5, per_pan
     aggs = []
     for i, c in enumerate(cols):
         q1, _, q3 = q[c]
-        low, high = q1 - whisker * (q3 - q1), q3 + whisker * (q3 - q1)
+        low, high = (0.0, 0.0) if q1 is None else (q1 - whisker * (q3 - q1), q3 + whisker * (q3 - q1))
         x = quoted(c)
         inside = (x >= low) & (x <= high)
         aggs += [F.min(F.when(inside, x)).cast("double").alias(f"lo{i}"),
@@ -283,7 +285,7 @@ def box_plot_table(df: DataFrame, cols: list[str], whisker: float = 1.5, per_pan
                  F.count_if(~inside).alias(f"o{i}"), (F.max(x) - F.min(x)).cast("double").alias(f"r{i}")]
     wide = df.agg(*aggs)
     long = wide.select(F.inline(F.array(*[
-        F.struct(F.lit(c).alias("column"), *[F.lit(float(v)).alias(n) for n, v in zip(("q1", "median", "q3"), q[c])],
+        F.struct(F.lit(c).alias("column"), *[F.lit(v).cast("double").alias(n) for n, v in zip(("q1", "median", "q3"), q[c])],
                  F.col(f"lo{i}").alias("whisker_low"), F.col(f"hi{i}").alias("whisker_high"),
                  F.col(f"o{i}").alias("outliers"), F.col(f"r{i}").alias("span"))
         for i, c in enumerate(cols)

@@ -137,11 +137,11 @@ def boosted_quotas(df: DataFrame, col: str, target: int, balance: bool = True, m
 
 def representative_sample(df: DataFrame, id_col: str, size: float = 0.3, stratify: list[str] | None = None,
                           numeric: list[str] | None = None, balance: bool = True, min_size: int = 100,
-                          seed: int = 42, max_clusters: int = 100) -> DataFrame:
+                          seed: int = 42, n_clusters: int = 100) -> DataFrame:
     """Category quotas column by column, then rows near the centres of numeric clusters.
 
     Later columns only draw rows not drawn yet (anti join on the id). The union is cut to the target by
-    hash. If rows are missing, up to ``max_clusters`` clusters share them by size, nearest first.
+    hash. If rows are missing, ``n_clusters`` clusters share them by size, nearest first.
     """
     total = df.count()
     target = int(total * size) if 0 < size < 1 else int(size)
@@ -160,14 +160,14 @@ def representative_sample(df: DataFrame, id_col: str, size: float = 0.3, stratif
         drawn, got = sample_exact(drawn, id_col, target, seed), target
     numeric = numeric_columns(df) if numeric is None else numeric
     if numeric and got < target:
-        extra = nearest_to_centres(df, id_col, numeric, drawn, target - got, seed, max_clusters)
+        extra = nearest_to_centres(df, id_col, numeric, drawn, target - got, seed, n_clusters)
         drawn = extra if drawn is None else drawn.unionByName(extra)
     return df.join(drawn, id_col, "left_semi")
 
 
 def nearest_to_centres(df: DataFrame, id_col: str, cols: list[str], taken: DataFrame | None, want: int,
-                       seed: int = 42, max_clusters: int = 100) -> DataFrame:
-    """Ids of ``want`` rows not in ``taken``, nearest to the centres of at most ``max_clusters`` clusters."""
+                       seed: int = 42, n_clusters: int = 100) -> DataFrame:
+    """Ids of ``want`` rows not in ``taken``, nearest to the centres of ``n_clusters`` clusters."""
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -179,7 +179,7 @@ def nearest_to_centres(df: DataFrame, id_col: str, cols: list[str], taken: DataF
                                          for i, c in enumerate(cols)])
     scaled = materialised(apply_scaler(filled, fit_standard(filled, cols)), "scaled")
     vectors = VectorAssembler(inputCols=cols, outputCol="features").transform(scaled)
-    model = KMeans(k=min(max_clusters, want), seed=seed, predictionCol="cluster").fit(vectors)
+    model = KMeans(k=n_clusters, seed=seed, predictionCol="cluster").fit(vectors)
     centres = [[float(v) for v in c] for c in model.clusterCenters()]
     table = F.array(*[F.array(*[F.lit(v) for v in c]) for c in centres])
     point = vector_to_array("features")
@@ -197,5 +197,5 @@ def nearest_to_centres(df: DataFrame, id_col: str, cols: list[str], taken: DataF
         quotas[c] += 1
     table = df.sparkSession.createDataFrame([(c, q) for c, q in quotas.items()], "cluster int, quota long")
     placed = running_total(scored, ["cluster"], ["distance", id_col], "one", "place")
-    # at most max_clusters rows
+    # one row per cluster
     return placed.join(F.broadcast(table), "cluster").where("place < quota").select(quoted(id_col))

@@ -28,7 +28,8 @@ def fit_minmax(df: DataFrame, cols: list[str]) -> Scaler:
 
 def fit_robust(df: DataFrame, cols: list[str]) -> Scaler:
     """Exact median and IQR; an IQR of zero divides by one."""
-    return {c: (m, (b - a) or 1.0) for c, (a, m, b) in quantiles(df, cols, [0.25, 0.5, 0.75]).items()}
+    return {c: (0.0, 1.0) if m is None else (m, (b - a) or 1.0)
+            for c, (a, m, b) in quantiles(df, cols, [0.25, 0.5, 0.75]).items()}
 
 
 FITTERS = {"standard": fit_standard, "minmax": fit_minmax, "robust": fit_robust}

@@ -29,7 +29,7 @@ def build_session(app: str = "tablemill", master: str | None = None, **conf: str
 def shared_root(spark: SparkSession) -> str:
     """Folder every executor can reach, as named by the cluster.
 
-    Only where the setting is missing (tests, a laptop) is a temporary folder created.
+    Only in local mode (tests, a laptop) is a temporary folder created where the setting is missing.
     """
     configured = spark.conf.get(CHECKPOINT_KEY, None) or spark.sparkContext.getConf().get(CHECKPOINT_KEY)
     current = spark.sparkContext.getCheckpointDir()
@@ -38,6 +38,8 @@ def shared_root(spark: SparkSession) -> str:
             spark.sparkContext.setCheckpointDir(configured)
         return configured
     if current is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError(f"set {CHECKPOINT_KEY} to a folder that all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tablemill-"))
         current = spark.sparkContext.getCheckpointDir()
     return current
@@ -55,13 +57,8 @@ def work_path(spark: SparkSession, name: str) -> str:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Rebalance a table that has fewer files than there are cores, before work that is heavy on CPU.
-
-    Adaptive execution picks the partition sizes. A table of many files is left as it is.
-    """
-    if len(df.inputFiles()) < df.sparkSession.sparkContext.defaultParallelism:
-        return df.hint("rebalance")
-    return df
+    """Rebalance a table before work that is heavy on CPU; adaptive execution picks the partition sizes."""
+    return df.hint("rebalance")
 
 
 def materialised(df: DataFrame, name: str, spread_out: bool = False) -> DataFrame:
