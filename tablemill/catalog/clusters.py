@@ -311,7 +311,15 @@ def met3(spark, d):
     return spark.createDataFrame([(round(s["davies_bouldin"], 6),)], "davies_bouldin double")
 
 
-@query("met4_all_scores")
+@query("met4_all_scores", f"""WITH {CENTRE_SQL}, o AS (SELECT list(m ORDER BY i) AS m FROM (SELECT i, avg(x) AS m FROM u GROUP BY i)),
+b AS (SELECT sum(n * pow(list_distance(cen.m, o.m), 2)) AS b FROM w JOIN cen USING (c), o),
+r AS (SELECT a.c, max((a.reach + b.reach) / list_distance(ca.m, cb.m)) AS r FROM w a JOIN cen ca USING (c), w b JOIN cen cb USING (c) WHERE a.c <> b.c GROUP BY a.c),
+p AS (SELECT a.id, a.c, b.c AS o, sum(pow(list_distance(a.e, b.e), 2)) AS s, count(*) AS n FROM v a, v b GROUP BY ALL),
+f AS (SELECT id, max(n) FILTER (c = o) AS size, max(s / nullif(n - 1, 0)) FILTER (c = o) AS a, min(s / n) FILTER (c <> o) AS b FROM p GROUP BY id)
+SELECT 'squared' AS silhouette_kind, (SELECT round(avg(CASE WHEN size = 1 THEN 0 ELSE (b - a) / greatest(a, b) END), 6) FROM f) AS silhouette,
+ (SELECT round((b / (count(*) - 1)) / (sum(within) / (sum(n) - count(*))), 6) FROM w, b GROUP BY b) AS calinski_harabasz,
+ (SELECT round(avg(r), 6) FROM r) AS davies_bouldin, (SELECT round(sum(within), 6) FROM w) AS inertia""")
 def met4(spark, d):
     row = metrics.metrics_row(vectors(spark, d), VECTOR, "id")
+    row = {k: round(v, 6) if isinstance(v, float) else v for k, v in row.items()}
     return spark.createDataFrame([tuple(row.values())], "silhouette_kind string, silhouette double, calinski_harabasz double, davies_bouldin double, inertia double")

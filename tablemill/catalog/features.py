@@ -169,12 +169,32 @@ def out8c(spark, d):
     return rounded(out.select("event_id", "value"), 6, "value")
 
 
-@query("out8_cap_lof_outliers")
+@query("out8_cap_lof_outliers", LOF_SQL.replace("SELECT id AS event_id, round(lof, 4) AS lof FROM lof", """SELECT event_id,
+ CASE WHEN lof > (SELECT quantile_cont(lof, 0.9) FROM lof) THEN (SELECT median(value) FROM events) ELSE value END AS value
+FROM events JOIN lof ON id = event_id"""))
 def out8d(spark, d):
     df = read_table(spark, d, "events").select("event_id", "value")
     return outliers.treat_outliers(df, "value", "cap", "lof", "event_id")
 
 
+@query("out8_repeated_ids", "SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY 1")
+def out8e(spark, d):
+    """An id that repeats neither multiplies nor loses rows."""
+    df = read_table(spark, d, "lineitem").select("l_orderkey", "l_extendedprice")
+    out = outliers.treat_outliers(df, "l_extendedprice", "cap", "lof", "l_orderkey")
+    return out.groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("out4_empty_column", """WITH f AS (SELECT quantile_cont(value, 0.25) AS a, quantile_cont(value, 0.75) AS b FROM events)
+SELECT 'value' AS "column", count(*) FILTER (value < a - 1.5 * (b - a) OR value > b + 1.5 * (b - a)) AS n_outliers,
+ round(any_value(a - 1.5 * (b - a)), 6) AS lower, round(any_value(b + 1.5 * (b - a)), 6) AS upper FROM events, f
+UNION ALL SELECT 'gone', 0, CAST(NULL AS DOUBLE), CAST(NULL AS DOUBLE)""")
+def out4e(spark, d):
+    df = read_table(spark, d, "events").select("value", F.lit(None).cast("double").alias("gone"))
+    _, report = outliers.bounds_table(df, ["value", "gone"])
+    return rounded(report.drop("ratio"), 6, "lower", "upper")
+
+
 @query("out9_outlier_summary", f"""WITH f AS ({FENCES.format(c='value', t='events')}),
 z AS (SELECT avg(value) AS m, stddev_pop(value) AS s FROM events)
 SELECT count(*) AS total_values, count(*) FILTER (value < a - 1.5 * (b - a) OR value > b + 1.5 * (b - a)) AS outlier_count,
@@ -304,6 +324,14 @@ def enc8(spark, d):
         "o_orderkey", "o_orderpriority_count")
 
 
+@query("enc9_encoded_rows", """SELECT p_partkey, true AS numbered FROM part""")
+def enc9b(spark, d):
+    """Every row gets a cluster from 0 to 3 in place of its text, also where the text is missing."""
+    df = read_table(spark, d, "part").select("p_partkey", F.when(F.col("p_partkey") % 10 != 0, F.col("p_name")).alias("name"), "p_type")
+    out = encode.encode_by_cluster(df, ["name", "p_type"], 4)
+    return out.select("p_partkey", (F.col("name").between(0, 3) & F.col("p_type").between(0, 3)).alias("numbered"))
+
+
 @query("enc9_cluster_categories")
 def enc9(spark, d):
     return encode.cluster_categories(read_table(spark, d, "part"), "p_name", 5)

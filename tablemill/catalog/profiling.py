@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from tablemill.catalog.registry import (COLUMNS, NUMBERS, PRODUCTS_SQL, TEXT, WITH_PRODUCTS, per_column, query)
 from tablemill.functions.numbers import quoted
-from tablemill.operators import reports
+from tablemill.operators import columns, reports
+from tablemill.operators.profile import profile_table
 from tablemill.sources.tables import products, read_table
 
 CATEGORY_COLUMNS = ["product_name", "categories", "brands", "serving_size"]
@@ -33,6 +34,36 @@ def agg1(spark, d):
     return reports.quality_report(products(spark, d))
 
 
+WIDE_KEYS = ["wide", "exact", "small"]
+
+
+def wide_keys(spark, d):
+    """Integers beyond 2^53 and decimals of 38 digits, which a double cannot tell apart."""
+    return read_table(spark, d, "lineitem").select(
+        (F.col("l_orderkey") + F.lit(2**60)).alias("wide"),
+        (F.col("l_partkey").cast("decimal(38,0)") + F.lit("100000000000000000000").cast("decimal(38,0)")).cast("decimal(38,0)").alias("exact"),
+        F.col("l_linenumber").alias("small"))
+
+
+@query("agg1_wide_keys", """SELECT 'wide' AS "column", count(DISTINCT l_orderkey + 1152921504606846976) AS distinct_values FROM lineitem
+UNION ALL SELECT 'exact', count(DISTINCT CAST(l_partkey AS DECIMAL(38,0)) + CAST('100000000000000000000' AS DECIMAL(38,0))) FROM lineitem
+UNION ALL SELECT 'small', count(DISTINCT l_linenumber) FROM lineitem""")
+def agg1b(spark, d):
+    return profile_table(wide_keys(spark, d)).select("column", F.col("distinct").alias("distinct_values"))
+
+
+@query("prj10_wide_keys", "SELECT l_orderkey + 1152921504606846976 AS wide FROM lineitem")
+def prj10b(spark, d):
+    return columns.drop_flat_columns(wide_keys(spark, d).select("wide", "small"), 0.01)
+
+
+@query("agg8_empty_column", """SELECT 'value' AS "column", count(*) AS count, round(avg(value), 6) AS mean, round(median(value), 6) AS q50 FROM events
+UNION ALL SELECT 'gone', 0, CAST(NULL AS DOUBLE), CAST(NULL AS DOUBLE)""")
+def agg8b(spark, d):
+    df = read_table(spark, d, "events").select("value", F.lit(None).cast("double").alias("gone"))
+    return rounded(reports.describe_table(df, ["value", "gone"]).select("column", "count", "mean", "q50"), 6, "mean", "q50")
+
+
 @query("agg2_missing_report", WITH_PRODUCTS + "SELECT * FROM (" + per_column(
     """SELECT '{c}' AS "column", round((count(*) - count({c})) / count(*) * 100, 9) AS null_pct,
     (count(*) - count({c})) / count(*) * 100 > 50 AS alert FROM products""", COLUMNS) + ") WHERE null_pct > 0")
