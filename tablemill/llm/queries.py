@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tablemill.llm import contamination, licences, packing, paragraphs, quality_model, quality_rules, sharding, similar, token_counts, wavelet
+from tablemill.llm import contamination, licences, oracles, packing, paragraphs, quality_model, quality_rules, sharding, similar, token_counts, wavelet
 from tablemill.sources.tables import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -28,13 +28,13 @@ def op1_uniform_shards(spark, folder):
     return sharding.shard_documents(read_table(spark, folder, "documents"))
 
 
-@query("op3_quality_rules")
+@query("op3_quality_rules", oracles.quality_rules_sql())
 def op3_quality_rules(spark, folder):
     docs = read_table(spark, folder, "documents").select("doc_id", "text")
     return quality_rules.apply_rules(docs).drop("text")
 
 
-@query("op4_decontamination")
+@query("op4_decontamination", oracles.contamination_sql())
 def op4_decontamination(spark, folder):
     found = contamination.contamination(read_table(spark, folder, "documents"), read_table(spark, folder, "benchmark"))
     return found.drop("print", "spans")
@@ -75,6 +75,6 @@ def op2_paragraph_dedup(spark, folder):
     return paragraphs.repeated_pairs(read_table(spark, folder, "documents"))
 
 
-@query("op10_licence_scan")
+@query("op10_licence_scan", oracles.licences_sql())
 def op10_licence_scan(spark, folder):
     return licences.scan(licences.document_paths(read_table(spark, folder, "documents"))).drop("text")
