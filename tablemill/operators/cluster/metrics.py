@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tablemill.functions.numbers import quoted
 from tablemill.operators.joins import small_side
+from tablemill.session import checkpointed, materialised
 
 BLOCK_ROWS = 2_000
 KINDS = ("squared", "euclidean")
@@ -48,69 +49,109 @@ def spreads(df: DataFrame, d: int) -> DataFrame:
 
 
 def spread_scores(df: DataFrame, cols: list[str], cluster: str = "cluster", include_noise: bool = True) -> dict:
-    """inertia, Calinski-Harabasz and Davies-Bouldin from one table of cluster spreads."""
-    data = labelled(df, cols, cluster, include_noise)
-    rows = spreads(data, len(cols)).collect()
-    k, n = len(rows), sum(r["n"] for r in rows)
-    inertia = sum(r["within"] for r in rows)
-    if k < 2 or n <= k:
-        return {"inertia": inertia, "calinski_harabasz": None, "davies_bouldin": None, "n_labels": k}
-    centres = np.array([r["centre"] for r in rows])
-    sizes = np.array([r["n"] for r in rows], dtype=float)
-    overall = (centres * sizes[:, None]).sum(axis=0) / n
-    between = float((sizes * ((centres - overall) ** 2).sum(axis=1)).sum())
-    ch = between / (k - 1) / (inertia / (n - k)) if inertia else 1.0
-    reach = np.array([r["reach"] for r in rows])
-    worst = []
-    for i in range(k):
-        gap = np.sqrt(((centres - centres[i]) ** 2).sum(axis=1))
-        ratio = np.divide(reach + reach[i], gap, out=np.zeros(k), where=gap > 0)
-        ratio[i] = -np.inf
-        worst.append(ratio.max())
-    return {"inertia": inertia, "calinski_harabasz": ch, "davies_bouldin": float(np.mean(worst)), "n_labels": k}
+    """inertia, Calinski-Harabasz and Davies-Bouldin from one table of cluster spreads.
+
+    The table has one line per cluster and may be long, so it stays in Spark; a few sums reach the driver.
+    """
+    d = len(cols)
+    table = checkpointed(spreads(labelled(df, cols, cluster, include_noise), d))
+    n = F.col("n")
+    k, rows, inertia, overall = table.agg(
+        F.count(F.lit(1)), F.sum("n"), F.sum("within"),
+        F.array(*[F.sum(F.col("centre")[i] * n) / F.sum(n) for i in range(d)])).first()
+    if k < 2 or rows <= k:
+        return {"inertia": inertia or 0, "calinski_harabasz": None, "davies_bouldin": None, "n_labels": k}
+    between = table.agg(F.sum(n * squared_distance(F.col("centre"), F.array(*map(F.lit, overall))))).first()[0]
+    ch = between / (k - 1) / (inertia / (rows - k)) if inertia else 1.0
+    return {"inertia": inertia, "calinski_harabasz": ch, "davies_bouldin": _davies_bouldin(table, k), "n_labels": k}
+
+
+def _davies_bouldin(table: DataFrame, k: int) -> float:
+    """Mean over the clusters of the worst ratio of reaches to the distance of the centres.
+
+    Every pair of clusters counts, so the work is quadratic in the clusters; pairs of blocks of clusters are
+    compared in tasks of bounded size, and each gives one line per cluster.
+    """
+    blocks = max(1, math.ceil(k / BLOCK_ROWS))
+    keyed = table.select("c", "centre", "reach", F.pmod(F.xxhash64("c"), F.lit(blocks)).cast("int").alias("b"))
+    every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    left = keyed.select(F.col("b").alias("i"), every.alias("j"), "c", "centre", "reach")
+    right = keyed.select(every.alias("i"), F.col("b").alias("j"), "c", "centre", "reach")
+
+    def worst(a, b):
+        if not len(a) or not len(b):
+            return pd.DataFrame({"c": a["c"][:0], "worst": []})
+        x, y = np.array(a["centre"].tolist()), np.array(b["centre"].tolist())
+        out = np.full(len(x), -np.inf)
+        for s in range(0, len(x), 256):
+            gap = np.sqrt(((x[s:s + 256, None, :] - y[None, :, :]) ** 2).sum(axis=2))
+            both = a["reach"].to_numpy()[s:s + 256, None] + b["reach"].to_numpy()[None, :]
+            ratio = np.divide(both, gap, out=np.zeros_like(gap), where=gap > 0)
+            ratio[a["c"].to_numpy()[s:s + 256, None] == b["c"].to_numpy()[None, :]] = -np.inf
+            out[s:s + 256] = ratio.max(axis=1)
+        return pd.DataFrame({"c": a["c"], "worst": out})
+
+    parts = left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInPandas(worst, "c long, worst double")
+    return parts.groupBy("c").agg(F.max("worst").alias("worst")).agg(F.avg("worst")).first()[0]
 
 
 def silhouette_squared(df: DataFrame, cols: list[str], cluster: str = "cluster", include_noise: bool = True) -> float | None:
     """Mean silhouette under squared Euclidean distance.
 
     The mean squared distance from a point to a cluster follows from the cluster's count, centre and
-    sum of squares, so the cost is rows x clusters and no pair of rows is formed.
+    sum of squares, so the cost is rows x clusters and no pair of rows is formed. Blocks of rows meet blocks
+    of clusters, so no task and not the driver holds all clusters.
     """
     data = labelled(df, cols, cluster, include_noise)
     d = len(cols)
-    shift = [float(v) for v in data.agg(F.array(*[F.avg(F.col("p")[i]) for i in range(d)])).first()[0]]
-    moved = data.select(F.zip_with("p", F.array(*[F.lit(v) for v in shift]), lambda x, m: x - m).alias("p"), "c")
-    table = moments(moved, d).collect()
-    if len(table) < 2:
+    shift = data.agg(F.array(*[F.avg(F.col("p")[i]) for i in range(d)])).first()[0]
+    if shift is None or shift[0] is None:
+        return None
+    moved = data.select(F.zip_with("p", F.array(*[F.lit(float(v)) for v in shift]), lambda x, m: x - m).alias("p"), "c")
+    table = checkpointed(moments(moved, d))
+    k = table.count()
+    if k < 2:
         return None
-    labels = np.array([r["c"] for r in table])
-    order = np.argsort(labels)
-    labels = labels[order]
-    sizes = np.array([table[i]["n"] for i in order], dtype=float)
-    centres = np.array([table[i]["centre"] for i in order])
-    squares = np.array([table[i]["q"] for i in order])
-
-    def partial(batches):
-        total, count = 0.0, 0
+    blocks = math.ceil(k / BLOCK_ROWS)
+    own = table.select("c", F.col("n").alias("size"), F.col("centre").alias("home"), F.col("q").alias("home_q"))
+    rows = moved.join(small_side(own, True), "c").withColumn("row", F.monotonically_increasing_id())
+    rows = materialised(rows, "silhouette") if blocks > 1 else rows
+    block = F.pmod(F.xxhash64("c"), F.lit(blocks)).cast("int")
+    parts = []
+    for b in range(blocks):  # one block of at most about BLOCK_ROWS clusters goes to each task at a time
+        some = table.where(block == b).select("c", "n", "centre", "q").toPandas()
+        parts.append(rows.mapInPandas(_nearest_other(some), "row long, own double, size long, other double"))
+    near = parts[0]
+    for p in parts[1:]:
+        near = near.unionByName(p)
+    if blocks > 1:
+        near = near.groupBy("row").agg(F.max("own").alias("own"), F.max("size").alias("size"), F.min("other").alias("other"))
+    a = F.col("own") * F.col("size") / F.greatest(F.col("size") - 1, F.lit(1))
+    top = F.greatest(a, F.col("other"))
+    value = F.when((F.col("size") > 1) & (top > 0), (F.col("other") - a) / top).otherwise(0.0)
+    return near.agg(F.avg(value)).first()[0]
+
+
+def _nearest_other(some: pd.DataFrame):
+    """Mean squared distance of each row to its own cluster and to the nearest other one of a block."""
+    labels, sizes, squares = some["c"].to_numpy(), some["n"].to_numpy(dtype=float), some["q"].to_numpy()
+    centres = np.array(some["centre"].tolist(), dtype=float)
+
+    def nearest(batches):
         for b in batches:
-            x = np.array(b["p"].tolist(), dtype=float)
-            if not len(x):
+            if not len(b):
                 continue
-            own = np.searchsorted(labels, b["c"].to_numpy())
-            rows = np.arange(len(x))
-            mean = (x * x).sum(axis=1)[:, None] + (squares / sizes)[None, :] - 2 * x @ centres.T
-            size = sizes[own]
-            a = mean[rows, own] * size / np.maximum(size - 1, 1)
-            mean[rows, own] = np.inf
-            other = mean.min(axis=1)
-            top = np.maximum(a, other)
-            s = np.where((size > 1) & (top > 0), (other - a) / np.where(top > 0, top, 1), 0.0)
-            total += float(s.sum())
-            count += len(s)
-        yield pd.DataFrame({"total": [total], "n": [count]})
-
-    r = moved.mapInPandas(partial, "total double, n long").agg(F.sum("total"), F.sum("n")).first()
-    return r[0] / r[1]
+            x, home = np.array(b["p"].tolist(), dtype=float), np.array(b["home"].tolist(), dtype=float)
+            square, size = (x * x).sum(axis=1), b["size"].to_numpy()
+            own = square + b["home_q"].to_numpy() / size - 2 * (x * home).sum(axis=1)
+            other = np.full(len(x), np.inf)
+            if len(labels):
+                mean = square[:, None] + (squares / sizes)[None, :] - 2 * x @ centres.T
+                mean[b["c"].to_numpy()[:, None] == labels[None, :]] = np.inf
+                other = mean.min(axis=1)
+            yield pd.DataFrame({"row": b["row"], "own": own, "size": size, "other": other})
+
+    return nearest
 
 
 def silhouette_values(df: DataFrame, cols: list[str], id_col: str, cluster: str = "cluster",

@@ -148,3 +148,45 @@ def test_knee_and_given_eps(spark):
     assert density.knee_eps(df, cols, "id", 4) > 0
     result = density.train(df, cols, "id", eps=0.3, min_samples=5)
     assert result.eps == 0.3 and result.info["n_clusters"] >= 2
+
+
+def test_scores_of_many_clusters(spark, monkeypatch):
+    """Blocks of clusters give the same scores as all clusters at once."""
+    rng = np.random.RandomState(8)
+    x, c = rng.normal(0, 5, (900, 3)), rng.randint(0, 250, 900)
+    df, cols = frame(spark, x)
+    df = df.join(spark.createDataFrame([(i, int(v)) for i, v in enumerate(c)], "id long, cluster long"), "id")
+    one = metrics.metrics_row(df, cols, "id")
+    monkeypatch.setattr(metrics, "BLOCK_ROWS", 40)
+    many = metrics.metrics_row(df, cols, "id")
+    assert one["silhouette_kind"] == many["silhouette_kind"] == "squared"
+    centres = {v: x[c == v].mean(0) for v in set(c.tolist())}
+    reach = {v: np.sqrt(((x[c == v] - m) ** 2).sum(1)).mean() for v, m in centres.items()}
+    worst = [max((reach[a] + reach[b]) / np.linalg.norm(centres[a] - centres[b]) for b in centres if b != a) for a in centres]
+    inner = sum(((x[c == v] - m) ** 2).sum() for v, m in centres.items())
+    outer = sum((c == v).sum() * ((m - x.mean(0)) ** 2).sum() for v, m in centres.items())
+    gap = ((x[:, None] - x[None]) ** 2).sum(2)
+    values = []
+    for i, v in enumerate(c):
+        own = c == v
+        if own.sum() == 1:
+            values.append(0.0)
+            continue
+        a = gap[i][own].sum() / (own.sum() - 1)
+        b = min(gap[i][c == o].mean() for o in centres if o != v)
+        values.append((b - a) / max(a, b))
+    for got in (one, many):
+        assert np.isclose(got["davies_bouldin"], np.mean(worst)) and np.isclose(got["inertia"], inner)
+        assert np.isclose(got["calinski_harabasz"], outer / (len(centres) - 1) / (inner / (900 - len(centres))))
+        assert np.isclose(got["silhouette"], np.mean(values))
+    with pytest.raises(ValueError):
+        metrics.silhouette(df, cols, "id", kind="other")
+
+
+def test_wide_distinct_counts(spark):
+    from tablemill.operators import profile
+
+    df = spark.range(1000).select((F.col("id") + 2**60).alias("wide"), (F.col("id") % 7).alias("small"),
+                                  (F.col("id").cast("decimal(38,0)") + F.lit("1" + "0" * 30).cast("decimal(38,0)")).alias("exact"))
+    found = profile.profile(df)
+    assert [found[c].distinct for c in ("wide", "small", "exact")] == [1000, 7, 1000]

@@ -64,3 +64,14 @@ def test_stream_equals_batch(spark, tmp_path):
     again = apply_to_stream(read_stream(spark, str(tmp_path / "in")), step, str(tmp_path / "out"), str(tmp_path / "cp"))
     key = lambda t: sorted(tuple(r) for r in t.collect())
     assert key(out) == key(step(df)) == key(again)
+
+
+def test_cluster_needs_a_shared_folder():
+    """Without spark.checkpoint.dir only local mode may use a folder of its own."""
+    from types import SimpleNamespace as Named
+
+    from tablemill import session
+
+    context = Named(getConf=lambda: {}, getCheckpointDir=lambda: None, master="spark://host:7077")
+    with pytest.raises(RuntimeError):
+        session.shared_root(Named(conf={}, sparkContext=context))
