@@ -35,6 +35,7 @@ def tune(threshold: float = THRESHOLD, recall: float = 0.999, most: int = 10) ->
 
 
 BANDS, ROWS = tune()
+RUN_MARK = "run"
 
 
 def winnow(value: np.ndarray, who: np.ndarray, window: int = RUN_WINDOW) -> np.ndarray:
@@ -134,7 +135,8 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     positions. Paragraphs that share a band are brought together, compared exactly by the Jaccard similarity of
     their five-word shingles (0.8 or more), and clustered by components; equal runs are a cluster. Runs make sure
     that any passage of 50 words or more is found, wherever it stands in its paragraph. Of each cluster
-    the first unit in (doc_id, text, position) order stays, all others are listed, with the one that stays.
+    the first unit in (doc_id, text, position) order stays, all others are listed, with the one that stays. A run is
+    grown to the whole stretch of words that its document shares with the one that keeps it.
 
     Repeated runs count across documents, repeated paragraphs within one too. Rows that agree in doc_id and text are
     one document. NULL or empty texts have no units. An empty table has no passages.
@@ -154,15 +156,62 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     plain = lines.drop("bands").withColumn("node", _node())
     near_lines = plain.join(small_side(near), "node").withColumn("cluster", F.col("label"))
     equal_lines = repeated(plain.join(small_side(near.select("node")), "node", "left_anti")).withColumn("cluster", F.col("node"))
-    equal_runs = repeated(runs).withColumn("cluster", F.concat(F.lit("run").cast("binary"), _node()))
+    equal_runs = repeated(runs).withColumn("cluster", F.concat(F.lit(RUN_MARK).cast("binary"), _node()))
     columns = ["doc_id", "print", "start", "size", "cluster"]
     found = near_lines.select(*columns).unionByName(equal_lines.select(*columns)).unionByName(equal_runs.select(*columns))
     found = materialised(found.distinct(), "occurrences")
     first = found.groupBy("cluster").agg(F.min(F.struct("doc_id", "print", "start")).alias("kept"), F.count(F.lit(1)).alias("n"))
     first = first.where("n > 1").drop("n")
     out = found.join(first, "cluster").where(~F.struct("doc_id", "print", "start").eqNullSafe(F.col("kept")))
-    return out.select("doc_id", "print", "start", "size", "cluster", F.col("kept.doc_id").alias("kept_doc_id"),
-                      F.col("kept.print").alias("kept_print"), F.col("kept.start").alias("kept_start"))
+    out = materialised(out.select("doc_id", "print", "start", "size", "cluster", F.col("kept.doc_id").alias("kept_doc_id"),
+                                  F.col("kept.print").alias("kept_print"), F.col("kept.start").alias("kept_start")), "repeated")
+    run = F.substring("cluster", 1, len(RUN_MARK)) == F.lit(RUN_MARK).cast("binary")
+    return out.where(~run).unionByName(_whole_passages(light, out.where(run)))
+
+
+def _extended(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The longest common stretch of words around each pair of equal runs of two documents."""
+    for pdf in batches:
+        out = []
+        for row in pdf.itertuples():
+            hashes, (m, _) = hashed_words([row.text, row.kept_text])
+            own, kept = hashes[:m], hashes[m:]
+            done, breaks = {}, {}
+            for start, other in sorted((x["start"], x["kept_start"]) for x in row.seeds):
+                lag = other - start
+                if start < done.get(lag, 0):
+                    continue
+                low, high = max(0, -lag), min(len(own), len(kept) - lag)
+                if lag not in breaks:
+                    breaks[lag] = np.flatnonzero(own[low:high] != kept[low + lag:high + lag]) + low
+                at = int(np.searchsorted(breaks[lag], start))
+                first = int(breaks[lag][at - 1]) + 1 if at else low
+                last = int(breaks[lag][at]) if at < len(breaks[lag]) else high
+                done[lag] = last
+                if last - first >= RUN:
+                    out.append((row.doc_id, row.print, first, last - first, row.kept_doc_id, row.kept_print, first + lag))
+        found = pd.DataFrame(out, columns=["doc_id", "print", "start", "size", "kept_doc_id", "kept_print", "kept_start"])
+        yield found.astype({"doc_id": "Int64", "kept_doc_id": "Int64"}) if pdf["doc_id"].dtype.kind in "if" else found
+
+
+def _whole_passages(light: DataFrame, runs: DataFrame) -> DataFrame:
+    """Equal runs grown to the whole passages that the two documents share, word by word."""
+    key = ["doc_id", "print", "kept_doc_id", "kept_print"]
+    pairs = runs.groupBy(*key).agg(F.collect_set(F.struct("start", "kept_start")).alias("seeds"))
+    ends = pairs.select("doc_id", "print").unionByName(pairs.select(
+        F.col("kept_doc_id").alias("doc_id"), F.col("kept_print").alias("print"))).distinct()
+    ends = ends.select(F.col("doc_id").alias("_id"), F.col("print").alias("_print"))
+    wanted = light.join(small_side(ends), light["doc_id"].eqNullSafe(F.col("_id")) & (light["print"] == F.col("_print")), "left_semi")
+    texts = materialised(wanted.dropDuplicates(["doc_id", "print"]), "texts")
+    named = lambda id_, print_, text: texts.select(F.col("doc_id").alias(id_), F.col("print").alias(print_), F.col("text").alias(text))
+    same = lambda a, b, c, d: F.col(a).eqNullSafe(F.col(b)) & (F.col(c) == F.col(d))
+    both = pairs.join(named("_id", "_print", "text"), same("doc_id", "_id", "print", "_print")).drop("_id", "_print")
+    both = both.join(named("_id", "_print", "kept_text"), same("kept_doc_id", "_id", "kept_print", "_print")).drop("_id", "_print")
+    kind = light.schema["doc_id"].dataType.simpleString()
+    found = both.mapInPandas(_extended, f"doc_id {kind}, print long, start int, size int, kept_doc_id {kind}, kept_print long, kept_start int")
+    place = F.concat_ws("/", "kept_doc_id", "kept_print", "kept_start", "size")
+    return found.select("doc_id", "print", "start", "size", F.md5(place).cast("binary").alias("cluster"),
+                        "kept_doc_id", "kept_print", "kept_start")
 
 
 def covered_words(pieces: Column) -> Column:
