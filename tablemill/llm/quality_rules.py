@@ -33,7 +33,7 @@ RULES = [
     Rule("word_length", "word_chars", "n_words", least=2, most=24),
     Rule("symbols", "n_symbols", "word_chars", most=0.1),
     Rule("stop_words", "n_stop_words", "n_words", least=0.02),
-    Rule("repeated_lines", "n_dup_lines", "n_lines", most=0.3),
+    Rule("repeated_lines", "n_dup_lines", "n_lines", most=0.5),
 ]
 
 

@@ -69,7 +69,7 @@ def plain_rules(text):
     failed = len(w) < 20 or 100 * len(hit) > 30 * len(w)
     chars, dup = sum(map(len, w)), len(lines) - len(set(lines))
     stops = sum(x.lower() in quality_rules.STOP_WORDS for x in w)
-    kept = not failed and 2 * len(w) <= chars <= 24 * len(w) and symbols <= .1 * chars and stops >= .02 * len(w) and dup <= .3 * len(lines)
+    kept = not failed and 2 * len(w) <= chars <= 24 * len(w) and symbols <= .1 * chars and stops >= .02 * len(w) and dup <= .5 * len(lines)
     return len(w), chars, symbols, dup, len(hit), failed, kept
 
 
