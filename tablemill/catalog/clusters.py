@@ -50,6 +50,19 @@ def clu1(spark, d):
     return result.labels.select("id", "cluster", "distance2")
 
 
+@query("clu1_fit_facts", "SELECT count(*) AS n, true AS nearest, 4 AS clusters FROM lineitem")
+def clu1b(spark, d):
+    """All rows are kept, each at its nearest centre, and no cluster is empty."""
+    df = lines_with_id(spark, d)
+    result = kmeans.train(df, ["x", "y"], "id", k=4, n_init=1)
+    again = result.predict(df)
+    gaps = [kmeans.centre_distance(["x", "y"], c) for c in result.centres]
+    scaled = apply_scaler(again, result.scaler)
+    own = F.element_at(F.array(*gaps), F.col("cluster") + 1)
+    return scaled.agg(F.count(F.lit(1)).alias("n"), F.bool_and(own <= F.least(*gaps) + 1e-9).alias("nearest"),
+                      F.count_distinct("cluster").cast("int").alias("clusters"))
+
+
 @query("clu2_k_scan")
 def clu2(spark, d):
     rows = kmeans.scan_k(customers(spark, d), ["x", "y"], "id", 2, 5, "calinski_harabasz")
@@ -251,7 +264,7 @@ def clu12(spark, d):
 
 @query("clu13_end_to_end")
 def clu13(spark, d):
-    df = products(spark, d).dropDuplicates(["row_id"]).select("row_id", "code", "brands", "energy_100g", "proteins_100g", "sugars_100g")
+    df = products(spark, d).select("row_id", "code", "brands", "energy_100g", "proteins_100g", "sugars_100g")
     _, done = cluster_table(df, "row_id", min_unique_ratio=0.0001, kmeans={"k": 3, "n_init": 1},
                             gmm={"k": 2, "n_init": 1, "max_iter": 5}, dbscan={"eps": 0.3, "min_samples": 10})
     return done.metrics()

@@ -32,6 +32,28 @@ def smp1b(spark, d):
     return sampling.sample_bernoulli(read_table(spark, d, "events"), 1000).select("event_id", "value")
 
 
+@query("smp1_bernoulli_facts", "SELECT true AS near_target, true AS all_known")
+def smp1d(spark, d):
+    """About as many rows as asked for (six standard deviations), each of them an input row."""
+    df = read_table(spark, d, "events")
+    drawn = sampling.sample_bernoulli(df, 1000).select("event_id", "value")
+    known = drawn.join(df.select("event_id", "value"), ["event_id", "value"], "left_semi").count()
+    n = drawn.count()
+    return spark.createDataFrame([(abs(n - min(1000, df.count())) <= 190, n == known)], "near_target boolean, all_known boolean")
+
+
+@query("smp1_line_share", "SELECT true AS near_target, true AS all_known")
+def smp1e(spark, d):
+    """A real sample of the lines of a file: fewer than the file has, and each is a line of it."""
+    df = read_table(spark, d, "documents").select("doc_id", "lang", "n_chars")
+    source = files.write_delimited(df, work_path(spark, "lines"))
+    wanted = df.count() // 2
+    target = files.sample_lines(spark, source, work_path(spark, "share"), n=wanted)
+    drawn = files.read_delimited(spark, target, schema=df.schema)
+    n, known = drawn.count(), drawn.join(df, df.columns, "left_semi").count()
+    return spark.createDataFrame([(abs(n - wanted) <= 6 * wanted ** 0.5, n == known)], "near_target boolean, all_known boolean")
+
+
 @query("smp1_line_sample", "SELECT doc_id, lang, n_chars FROM documents")
 def smp1c(spark, d):
     source = files.write_delimited(read_table(spark, d, "documents").select("doc_id", "lang", "n_chars"), work_path(spark, "lines"))
@@ -139,8 +161,19 @@ def smp5(spark, d):
 
 @query("smp5_representative_sample")
 def smp5b(spark, d):
-    df = products(spark, d).dropDuplicates(["row_id"])
-    return sampling.representative_sample(df, "row_id", 0.05, ["brands"], ["energy_100g", "fat_100g"])
+    return sampling.representative_sample(products(spark, d), "row_id", 0.05, ["brands"], ["energy_100g", "fat_100g"])
+
+
+@query("win6_facts", "SELECT least(200, count(*)) AS n, least(200, count(*)) AS ids FROM orders")
+def win6b(spark, d):
+    drawn = win6(spark, d)
+    return drawn.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("o_orderkey").alias("ids"))
+
+
+@query("smp5_facts", P + "SELECT CAST(floor(count(*) * 0.05) AS BIGINT) AS n, CAST(floor(count(*) * 0.05) AS BIGINT) AS ids FROM products")
+def smp5c(spark, d):
+    """The sample has the wanted size and no row twice."""
+    return smp5b(spark, d).agg(F.count(F.lit(1)).alias("n"), F.count_distinct("row_id").alias("ids"))
 
 
 @query("win6_nearest_to_centres")

@@ -64,8 +64,8 @@ def scaling_comparison(df: DataFrame, cols: list[str]) -> DataFrame:
     base = describe_table(df, cols)
     rows = {r["column"]: r for r in base.collect()}
     scalers = {"standard": fit_standard(df, cols),
-               "minmax": {c: (r["min"], (r["max"] - r["min"]) or 1.0) for c, r in rows.items()},
-               "robust": {c: (r["q50"], (r["q75"] - r["q25"]) or 1.0) for c, r in rows.items()}}
+               "minmax": {c: (r["min"], (r["max"] - r["min"]) or 1.0) if r["count"] else (0.0, 1.0) for c, r in rows.items()},
+               "robust": {c: (r["q50"], (r["q75"] - r["q25"]) or 1.0) if r["count"] else (0.0, 1.0) for c, r in rows.items()}}
     stats = ["mean", "min", "q25", "q50", "q75", "max"]
     out = base.select(F.lit("original").alias("form"), *base.columns)
     for form, scaler in scalers.items():
