@@ -7,14 +7,20 @@ import os
 import numpy as np
 import regex
 
-from tablemill.llm.words import hash_spans, pieces, spans
+from tablemill.llm.words import LOWER, SPACE, hash_spans, kind_spans, pieces
 
 #: Words that a worker remembers, and bytes of text it looks at together.
-REMEMBERED, SLICE = 1_000_000, 1 << 20
+REMEMBERED, SLICE = 1_000_000, 2 << 20
 #: Words of the letters, digits and signs that neither normalizing nor lower case takes apart or joins.
 PLAIN = regex.compile(r"[!-;=-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017f]+")
 #: The splitting rule of word_bpe_49k.json (fixed value), to count the parts of a word.
 PARTS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+#: 0 white space, 1 ASCII letters, 2 signs that only ever join with signs, 3 all else.
+KIND = np.full(256, 3, np.int8)
+KIND[33:127] = 2
+KIND[65:91] = KIND[97:123] = 1
+KIND[48:58] = KIND[[ord(c) for c in "'<|"]] = 3
+KIND[SPACE] = 0
 #: Id that ends a document.
 END = 1
 
@@ -26,12 +32,32 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def simplified(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes, kind): the text with its simple words in lower case, and the kind of every byte.
+
+    A simple word has ASCII letters and signs only, but none of ``'<|``, with which contractions and special
+    tokens begin. The normalizer makes it lower case and the splitter cuts it exactly where letters and signs
+    meet, so its runs of letters (kind 1) and of signs (kind 2) can be encoded apart. All bytes of other
+    words are left as they are and have kind 1, white space has 0.
+    """
+    kind = KIND[raw]
+    starts, ends = kind_spans((kind > 0).astype(np.int8))
+    odd = np.concatenate([[0], np.cumsum(kind == 3)])
+    odd = odd[ends] > odd[starts]
+    inside = np.zeros(len(raw) + 1, np.int8)
+    inside[starts[odd]] += 1
+    inside[ends[odd]] -= 1
+    inside = np.cumsum(inside)[:-1].astype(bool)
+    return np.where(inside, raw, LOWER[raw]), np.where(inside, np.int8(1), kind)
+
+
 class WordEncoder:
     """ids(texts) as the tokenizers library gives them for whole texts, without added special tokens.
 
     The normalizer of the file maps white space to a blank, and its splitter drops blanks and never joins what
     one separates, so a text's ids are the ids of the stretches between ASCII white space, one after
-    another. Each different stretch is encoded by the library once and remembered.
+    another; simple stretches are cut further, see ``simplified``. Each different stretch is encoded by the
+    library once and remembered.
     """
 
     def __init__(self, name: str = "word_bpe_49k.json"):
@@ -48,7 +74,7 @@ class WordEncoder:
     def _coded(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all words, tokens of each). Plain words go to the library as one text, since their number of
         parts is known and the last token of a part is marked in the vocabulary; other words go one by one."""
-        parts = [len(PARTS.findall(w.lower())) if PLAIN.fullmatch(w) else 0 for w in words]
+        parts = [1 if w.isascii() and w.isalpha() else len(PARTS.findall(w.lower())) if PLAIN.fullmatch(w) else 0 for w in words]
         plain = [i for i, n in enumerate(parts) if n]
         length, coded = np.zeros(len(words), np.int64), [np.zeros(0, np.uint16)] * len(words)
         ids = np.array(self.library.encode(" ".join(words[i] for i in plain), add_special_tokens=False).ids, np.int64)
@@ -89,13 +115,15 @@ class WordEncoder:
         return np.array([known[w] for w in words], np.int64)
 
     def _slice(self, raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(ids, first byte of each word, tokens of each word)."""
+        """(ids, first byte of each stretch, tokens of each stretch)."""
         array = np.frombuffer(raw, np.uint8)
-        starts, ends = spans(array)
+        array, kind = simplified(array)
+        starts, ends = kind_spans(kind)
         if not len(starts):
             return np.zeros(0, np.uint16), starts, starts
         _, first, back = np.unique(hash_spans(array, starts, ends), return_index=True, return_inverse=True)
-        place = self._places([raw[a:b] for a, b in zip(starts[first].tolist(), ends[first].tolist())])
+        flat = array.tobytes()
+        place = self._places([flat[a:b] for a, b in zip(starts[first].tolist(), ends[first].tolist())])
         counts = self.length[place][back]
         at = np.repeat(self.begin[place][back] - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())
         return self.ids_[at], starts, counts

@@ -13,7 +13,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
 from tablemill.llm.base import prepared, slim, text_groups
-from tablemill.llm.encode import encoder
+from tablemill.llm.encode import SLICE, encoder
 from tablemill.operators.joins import small_side
 from tablemill.session import materialised
 
@@ -141,7 +141,7 @@ def _pack(name: str, window: int, with_ids: bool):
             out["ids"] = [x.astype(np.int32) for x in out["ids"]]
             return out
 
-        for pdf in text_groups(batches):
+        for pdf in text_groups(batches, limit=SLICE):
             rows = []
             for doc_id, ids in zip(pdf["doc_id"], own.ids(pdf["text"].tolist())):
                 rows += packer.add(None if pd.isna(doc_id) else doc_id, ids)

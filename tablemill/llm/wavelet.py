@@ -12,7 +12,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from tablemill.llm.base import prepared, slim, text_groups
-from tablemill.llm.encode import encoder
+from tablemill.llm.encode import SLICE, encoder
 from tablemill.operators.joins import small_side
 from tablemill.session import work_path
 
@@ -132,7 +132,7 @@ def _shards(name: str, limit: int):
                                  "lengths": [[len(x) for x in held]],
                                  "matrix": [WaveletMatrix.build(np.concatenate(held)).dumps()]})
 
-        for pdf in text_groups(batches):
+        for pdf in text_groups(batches, limit=SLICE):
             for doc_id, ids in zip(pdf["doc_id"], own.ids(pdf["text"].tolist())):
                 docs.append(None if pd.isna(doc_id) else doc_id)
                 held.append(ids)

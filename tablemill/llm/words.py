@@ -38,18 +38,24 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(33))
 
 
+def kind_spans(kind: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the runs of equal kinds, without those of kind 0."""
+    if not len(kind):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    edge = np.empty(len(kind) + 1, bool)
+    edge[0] = edge[-1] = True
+    np.not_equal(kind[1:], kind[:-1], out=edge[1:-1])
+    at = np.flatnonzero(edge)
+    word = kind[at[:-1]] > 0
+    return at[:-1][word], at[1:][word]
+
+
 def spans(raw: np.ndarray, shapes: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends of the words; with ``shapes`` a word also ends where symbols begin or end."""
     kind = (~SPACE[raw]).astype(np.int8)
     if shapes:
         kind += SYMBOL[raw]
-    edge = np.empty(len(raw) + 1, bool)
-    edge[0] = edge[-1] = True
-    np.not_equal(kind[1:], kind[:-1], out=edge[1:-1])
-    at = np.flatnonzero(edge)
-    starts, ends = at[:-1], at[1:]
-    word = kind[starts] > 0 if len(raw) else np.zeros(0, bool)
-    return starts[word], ends[word]
+    return kind_spans(kind)
 
 
 def hash_spans(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
