@@ -19,6 +19,7 @@ def build_session(app: str = "tablemill", master: str | None = None, **conf: str
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
         **conf,
     }
     for key, value in settings.items():
@@ -52,8 +53,19 @@ def checkpointed(df: DataFrame) -> DataFrame:
 
 
 def work_path(spark: SparkSession, name: str) -> str:
-    """A fresh sub-folder of the shared folder for a table written by a job."""
-    return f"{shared_root(spark).rstrip('/')}/tablemill-{name}-{uuid.uuid4().hex}"
+    """A fresh sub-folder of the application's work folder for a table written by a job."""
+    return f"{work_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def work_folder(spark: SparkSession) -> str:
+    """Folder of all work tables of this application."""
+    return f"{shared_root(spark).rstrip('/')}/tablemill-{spark.sparkContext.applicationId}"
+
+
+def drop_work_tables(spark: SparkSession) -> None:
+    """Remove the work tables of this application; to be called when no result read from them is needed any more."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(work_folder(spark))
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def spread(df: DataFrame) -> DataFrame:

@@ -75,3 +75,22 @@ def test_cluster_needs_a_shared_folder():
     context = Named(getConf=lambda: {}, getCheckpointDir=lambda: None, master="spark://host:7077")
     with pytest.raises(RuntimeError):
         session.shared_root(Named(conf={}, sparkContext=context))
+
+
+def test_work_tables_go(spark):
+    import os
+
+    from tablemill import session
+
+    table = session.materialised(spark.range(3), "some")
+    folder = session.work_folder(spark).removeprefix("file:")
+    assert table.count() == 3 and any(x.startswith("some-") for x in os.listdir(folder))
+    # a folder of its own, so that tables of other tests stay
+    own = session.work_folder
+    session.work_folder = lambda s: own(s) + "/gone"
+    try:
+        session.materialised(spark.range(3), "other")
+        session.drop_work_tables(spark)
+    finally:
+        session.work_folder = own
+    assert not os.path.exists(folder + "/gone") and table.count() == 3
