@@ -7,6 +7,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tablemill.functions.numbers import quoted
@@ -119,11 +120,14 @@ def train(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -
     picked = slim(docs, doc_id="doc_id", text="text").join(F.broadcast(usable), F.col("doc_id") == F.col("id"))
     rows = materialised(picked.select("id", "text", "label"), "training")
     z, n = np.zeros(1 << s.bits), np.zeros(1 << s.bits)
+    # dealt once and kept on disk for all epochs; a lost part is dealt again from the written table
+    dealt = rows.repartition(s.parts, "id").sortWithinPartitions(F.xxhash64("id", "text"))
+    dealt = dealt.select("text", "label").persist(StorageLevel.DISK_ONLY)
     for _ in range(s.epochs):
-        dealt = rows.repartition(s.parts, "id").sortWithinPartitions(F.xxhash64("id", "text"))
-        sums = dealt.select("text", "label").mapInPandas(_epoch(s, z, n), "index long, z double, n double")
+        sums = dealt.mapInPandas(_epoch(s, z, n), "index long, z double, n double")
         mean = sums.groupBy("index").agg(F.avg("z").alias("z"), F.avg("n").alias("n")).toPandas()
         z[mean["index"]], n[mean["index"]] = mean["z"], mean["n"]
+    dealt.unpersist()
     return Model(s, _weights(z, n, s).astype(np.float32))
 
 
