@@ -10,7 +10,7 @@ import regex
 from tablemill.llm.words import LOWER, SPACE, hash_spans, kind_spans, pieces
 
 #: Words that a worker remembers, and bytes of text it looks at together.
-REMEMBERED, SLICE = 1_000_000, 2 << 20
+REMEMBERED, SLICE = 300_000, 1 << 20
 #: Words of the letters, digits and signs that neither normalizing nor lower case takes apart or joins.
 PLAIN = regex.compile(r"[!-;=-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017f]+")
 #: The splitting rule of word_bpe_49k.json (fixed value), to count the parts of a word.
@@ -99,20 +99,26 @@ class WordEncoder:
             out[begin[i]:begin[i] + length[i]] = coded[i]
         return out, length
 
-    def _places(self, words: list[bytes]) -> np.ndarray:
-        """Number of every word in the table; new ones are encoded. A full table is begun anew."""
-        new = [w for w in words if w not in self.known]
-        if new and len(self.known) + len(new) > REMEMBERED:
-            self.known.clear()
-            self.begin, self.length, self.ids_ = self.begin[:0], self.length[:0], self.ids_[:0]
-            new = words
-        if new:
-            ids, length = self._coded([w.decode("utf-8", "surrogatepass") for w in new])
-            self.known.update(zip(new, range(len(self.length), len(self.length) + len(new))))
-            self.begin = np.concatenate([self.begin, len(self.ids_) + np.cumsum(length) - length])
-            self.length, self.ids_ = np.concatenate([self.length, length]), np.concatenate([self.ids_, ids])
+    def _lookup(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids, begin, length): where the ids of each word stand. New words are encoded, and remembered while the
+        table has room; the words that fill it first are the frequent ones."""
         known = self.known
-        return np.array([known[w] for w in words], np.int64)
+        place = np.array([known.get(w, -1) for w in words], np.int64)
+        new = np.flatnonzero(place < 0)
+        if not len(new):
+            return self.ids_, self.begin[place], self.length[place]
+        fresh = [words[i] for i in new]
+        ids, length = self._coded([w.decode("utf-8", "surrogatepass") for w in fresh])
+        begin = len(self.ids_) + np.cumsum(length) - length
+        table = np.concatenate([self.ids_, ids])
+        starts, sizes = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
+        old = place >= 0
+        starts[old], sizes[old] = self.begin[place[old]], self.length[place[old]]
+        starts[new], sizes[new] = begin, length
+        if len(known) + len(fresh) <= REMEMBERED:
+            known.update(zip(fresh, range(len(known), len(known) + len(fresh))))
+            self.ids_, self.begin, self.length = table, np.concatenate([self.begin, begin]), np.concatenate([self.length, length])
+        return table, starts, sizes
 
     def _slice(self, raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(ids, first byte of each stretch, tokens of each stretch)."""
@@ -123,10 +129,10 @@ class WordEncoder:
             return np.zeros(0, np.uint16), starts, starts
         _, first, back = np.unique(hash_spans(array, starts, ends), return_index=True, return_inverse=True)
         flat = array.tobytes()
-        place = self._places([flat[a:b] for a, b in zip(starts[first].tolist(), ends[first].tolist())])
-        counts = self.length[place][back]
-        at = np.repeat(self.begin[place][back] - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())
-        return self.ids_[at], starts, counts
+        table, begin, length = self._lookup([flat[a:b] for a, b in zip(starts[first].tolist(), ends[first].tolist())])
+        counts = length[back]
+        at = np.repeat(begin[back] - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())
+        return table[at], starts, counts
 
     def ids(self, texts: list[str | None]) -> list[np.ndarray]:
         """Ids of every text followed by the end id; NULL is an empty text."""
