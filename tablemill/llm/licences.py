@@ -48,8 +48,9 @@ def vocabulary() -> list[str]:
     return sorted({w for _, s in TEMPLATES for w in terms(s)})
 
 
-def _list(words: list[str]) -> str:
-    return "array(" + ", ".join(f"'{w}'" for w in words) + ")"
+def whole_words(words: list[str]) -> str:
+    """A pattern for any of the words where neither a letter nor a digit stands beside it."""
+    return r"(?<![\p{L}\p{N}])(?:" + "|".join(words) + r")(?![\p{L}\p{N}])"
 
 
 def inverse_frequencies(files: DataFrame, text_col: str) -> tuple[dict[str, float], float]:
@@ -57,8 +58,8 @@ def inverse_frequencies(files: DataFrame, text_col: str) -> tuple[dict[str, floa
 
     The table that reaches the driver has one line per template term.
     """
-    words = f"array_distinct(regexp_extract_all(lower(coalesce({quoted_name(text_col)}, '')), '{sql(TERM)}', 0))"
-    own = files.select(F.expr(f"explode_outer(array_intersect({words}, {_list(vocabulary())}))").alias("term"))
+    words = f"regexp_extract_all(lower(coalesce({quoted_name(text_col)}, '')), '{sql(whole_words(vocabulary()))}', 0)"
+    own = files.select(F.expr(f"explode_outer(array_distinct({words}))").alias("term"))
     found = dict(own.groupBy("term").agg(F.count(F.lit(1)).alias("n")).collect())
     found.pop(None, None)
     n = files.count()
@@ -75,12 +76,30 @@ def quoted_name(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 
 
+def cue_terms(idf: dict[str, float], least: float = LEAST) -> list[str]:
+    """Terms of which every statement with the least cosine holds one: what they leave of any template is too
+    short a part of its length. The rarest terms are taken first."""
+    cues: set[str] = set()
+    for _, statement in TEMPLATES:
+        count = Counter(terms(statement))
+        squares = {w: (k * idf[w]) ** 2 for w, k in count.items()}
+        left, whole = sum(v for w, v in squares.items() if w not in cues), sum(squares.values())
+        for w in sorted(squares, key=lambda w: (-idf[w], -len(w), w)):
+            if left < 0.99 * least * least * whole:
+                break
+            if w not in cues:
+                cues.add(w)
+                left -= squares[w]
+    return sorted(cues)
+
+
 def best_statement(text_col: str, idf: dict[str, float], unseen: float, least: float = LEAST) -> str:
     """SQL text for struct(minus, licence, words): the best statement of a whole text, or NULL.
 
-    A text is cut at line ends and after full stops. A statement is compared only if its words outside of the
-    templates leave room for the least cosine: with d of them and t different words of the templates, none
-    twice, the squared cosine is at most t / (t + d) when every word weighs as much as an unseen one.
+    A text is cut at line ends and after full stops. Only texts and statements with a cue term are looked at. A
+    statement is compared only if its words outside of the templates leave room for the least cosine: with d of
+    them and t words of the templates, none twice, the squared cosine is at most t / (t + d), as no word weighs
+    more than an unseen one; with repeated words it is at most t^2 / (t^2 + d).
     """
     weights = []
     for licence, statement in TEMPLATES:
@@ -92,18 +111,19 @@ def best_statement(text_col: str, idf: dict[str, float], unseen: float, least: f
     inside = ", ".join(f"'{w}'" for w in vocabulary())
     text = f"coalesce({quoted_name(text_col)}, '')"
     statements = f"split({text}, '{sql(r'\n|(?<=[.!?])[ \t]+')}')"
-    words = f"transform({statements}, s -> regexp_extract_all(lower(s), '{sql(TERM)}', 0))"
+    cue = f"'{sql(whole_words(cue_terms(idf, least)))}'"
+    words = f"transform(filter({statements}, s -> lower(s) RLIKE {cue}), s -> regexp_extract_all(lower(s), '{sql(TERM)}', 0))"
     square = least * least
-    room = (f"filter({words}, w -> exists(w, x -> x IN ({inside})) AND ("
-            f"size(filter(w, x -> x IN ({inside}))) > size(array_intersect(w, {_list(vocabulary())})) OR "
-            f"size(array_intersect(w, {_list(vocabulary())})) * {1 - square!r} >= size(array_except(w, {_list(vocabulary())})) * {square!r}))")
+    rest = f"(size(w) - size(k)) * {square!r}"
+    room = (f"filter({words}, w -> transform(array(filter(w, x -> x IN ({inside}))), k -> size(k) * {1 - square!r} >= {rest} OR "
+            f"(size(k) * size(k) * {1 - square!r} >= {rest} AND size(array_distinct(k)) < size(k)))[0])")
     counted = (f"transform(array_distinct(w), x -> named_struct('w', x, 'v', "
                f"size(filter(w, y -> y = x)) * coalesce({known}[x], {unseen!r}D)))")
     scored = (f"array_min(transform(array({', '.join(weights)}), t -> named_struct('minus', "
               f"-round(aggregate(d, 0D, (s, x) -> s + x.v * coalesce(t.weights[x.w], 0D)) / "
               f"sqrt(aggregate(d, 0D, (s, x) -> s + x.v * x.v)), 6), 'licence', t.licence, 'words', size(w))))")
     each = f"transform({room}, w -> transform(array({counted}), d -> {scored})[0])"
-    return f"array_min(filter({each}, b -> b.minus <= {-least!r}D))"
+    return f"if(lower({text}) RLIKE {cue}, array_min(filter({each}, b -> b.minus <= {-least!r}D)), NULL)"
 
 
 def scan(files: DataFrame, path_col: str = "path", text_col: str = "text") -> DataFrame:
@@ -124,7 +144,8 @@ def scan(files: DataFrame, path_col: str = "path", text_col: str = "text") -> Da
     size = F.size(F.regexp_extract_all(F.lower(F.coalesce(quoted(text_col), F.lit(""))), F.lit(TERM), F.lit(0)))
     own = F.col("__llm_best")
     marked = attach(files, {"__llm_best": best, "__llm_dir": F.regexp_extract(quoted(path_col), r"^(.*)/[^/]*$", 1)})
-    speaks = own.isNotNull() & (quoted(path_col).rlike(FILE_NAME) | (SHARE * own["words"] >= size))
+    speaks = F.when(own.isNotNull(), F.coalesce(quoted(path_col).rlike(FILE_NAME), F.lit(False)) | (SHARE * own["words"] >= size)
+                    ).otherwise(False)
     marked = attach(marked, {"__llm_speaks": speaks})
     keys = marked.select("__llm_dir", "__llm_speaks", "__llm_best")
     keys = materialised(keys.where("__llm_dir IS NOT NULL").groupBy("__llm_dir").agg(
