@@ -11,9 +11,9 @@ from tablemill.functions.numbers import quoted
 from tablemill.session import shared_root
 
 #: Texts that Python works on at once, in bytes; a longer text is worked on alone.
-GROUP_BYTES = 1 << 20
+GROUP_BYTES = 1 << 19
 #: Rows go to Python in batches of at most so many bytes, however long their texts are.
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 4 << 20
 #: Words as the contracts of the quality rules count them.
 WORD = r"[^\x20\x09-\x0D]+"
 

@@ -10,7 +10,7 @@ import regex
 from tablemill.llm.words import LOWER, SPACE, hash_spans, kind_spans, pieces
 
 #: Words that a worker remembers, and bytes of text it looks at together.
-REMEMBERED, SLICE = 300_000, 1 << 20
+REMEMBERED, SLICE = 200_000, 1 << 19
 #: Words of the letters, digits and signs that neither normalizing nor lower case takes apart or joins.
 PLAIN = regex.compile(r"[!-;=-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017f]+")
 #: The splitting rule of word_bpe_49k.json (fixed value), to count the parts of a word.

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 import numpy as np
 
 #: Bytes that one pass over a long text takes.
-SLICE = 1 << 20
+SLICE = 1 << 19
 BASE = 0x9E3779B97F4A7C15
 BASE_INVERSE = pow(BASE, -1, 1 << 64)
 SPACE = np.zeros(256, bool)
