@@ -86,7 +86,7 @@ def _units(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         kept = winnow(value, who)
         other, _, _ = grams(hashes ^ np.uint64(0x5555555555555555), counts, RUN)
         runs = pd.DataFrame({"who": who[kept], "start": at[kept], "size": RUN, "one": _as_long(value[kept]),
-                             "two": _as_long(other[kept])}).drop_duplicates(["who", "one", "two"])
+                             "two": _as_long(other[kept])})
         runs["bands"] = None
         out = pd.concat([lines, runs], ignore_index=True)
         out["doc_id"], out["print"] = pdf["doc_id"].to_numpy()[out["who"]], pdf["print"].to_numpy()[out["who"]]
@@ -138,8 +138,8 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     the first unit in (doc_id, text, position) order stays, all others are listed, with the one that stays. A run is
     grown to the whole stretch of words that its document shares with the one that keeps it.
 
-    Repeated runs count across documents, repeated paragraphs within one too. Rows that agree in doc_id and text are
-    one document. NULL or empty texts have no units. An empty table has no passages.
+    Every place of a repeated run and of a repeated paragraph counts, across documents and within one. Rows that
+    agree in doc_id and text are one document. NULL or empty texts have no units. An empty table has no passages.
     """
     prepared(docs.sparkSession)
     light = slim(docs, doc_id="doc_id", text="text").withColumn("print", F.xxhash64("text"))
@@ -169,27 +169,39 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     return out.where(~run).unionByName(_whole_passages(light, out.where(run)))
 
 
+def _common(a: np.ndarray, b: np.ndarray) -> int:
+    """The number of equal values that both begin with, looked for in steps that double."""
+    n, done, step = min(len(a), len(b)), 0, 64
+    while done < n:
+        other = np.flatnonzero(a[done:min(done + step, n)] != b[done:min(done + step, n)])
+        if len(other):
+            return done + int(other[0])
+        done, step = done + step, 2 * step
+    return n
+
+
 def _extended(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """The longest common stretch of words around each pair of equal runs of two documents."""
+    """The longest common stretch of words around each pair of equal runs of two documents, or of two places of one."""
     for pdf in batches:
         out = []
         for row in pdf.itertuples():
             hashes, (m, _) = hashed_words([row.text, row.kept_text])
             own, kept = hashes[:m], hashes[m:]
-            done, breaks = {}, {}
+            done, grown = {}, []
             for start, other in sorted((x["start"], x["kept_start"]) for x in row.seeds):
                 lag = other - start
                 if start < done.get(lag, 0):
                     continue
-                low, high = max(0, -lag), min(len(own), len(kept) - lag)
-                if lag not in breaks:
-                    breaks[lag] = np.flatnonzero(own[low:high] != kept[low + lag:high + lag]) + low
-                at = int(np.searchsorted(breaks[lag], start))
-                first = int(breaks[lag][at - 1]) + 1 if at else low
-                last = int(breaks[lag][at]) if at < len(breaks[lag]) else high
+                first = start - _common(own[:start][::-1], kept[:other][::-1])
+                last = start + _common(own[start:], kept[other:])
                 done[lag] = last
                 if last - first >= RUN:
-                    out.append((row.doc_id, row.print, first, last - first, row.kept_doc_id, row.kept_print, first + lag))
+                    grown.append((first, -last, lag))
+            reach = 0
+            for first, last, lag in sorted(grown):  # a stretch inside another one adds nothing
+                if -last > reach:
+                    reach = -last
+                    out.append((row.doc_id, row.print, first, reach - first, row.kept_doc_id, row.kept_print, first + lag))
         found = pd.DataFrame(out, columns=["doc_id", "print", "start", "size", "kept_doc_id", "kept_print", "kept_start"])
         yield found.astype({"doc_id": "Int64", "kept_doc_id": "Int64"}) if pdf["doc_id"].dtype.kind in "if" else found
 

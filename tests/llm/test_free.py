@@ -153,6 +153,20 @@ def test_paragraphs(spark, docs, rows, empty):
     assert paragraphs.repeated_passages(empty).count() == 0
 
 
+def test_all_places_of_a_passage(spark):
+    """A passage that stands twice in a later document, and one that stands twice in one document only."""
+    shared, own = " ".join(words("shared", 60)), " ".join(words("own", 60))
+    texts = [(1, prose(301, 30) + " " + shared + " " + prose(302, 30)),
+             (2, prose(303, 30) + " " + shared + " " + prose(304, 45) + " " + shared + " tail"),
+             (3, prose(305, 30) + " " + own + " " + prose(306, 45) + " " + own + " tail"), (4, "w " * 300)]
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    left = dict(paragraphs.remove_repeated(df).collect())
+    assert left[1] == texts[0][1] and left[2] == prose(303, 30) + " " + prose(304, 45) + " tail"
+    assert left[3] == prose(305, 30) + " " + own + " " + prose(306, 45) + " tail" and left[4] == "w"
+    found = {(r["doc_id"], r["kept_doc_id"]): r["n_words"] for r in paragraphs.repeated_pairs(df).collect()}
+    assert found == {(2, 1): 120, (3, 3): 60, (4, 4): 299}
+
+
 def library_counts(rows):
     import sentencepiece
 
