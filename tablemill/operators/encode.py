@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import hashlib
-import math
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Window, functions as F
@@ -235,30 +234,35 @@ class StoredEncoder:
         return df
 
 
+#: Numbers that ``cluster_categories`` gives to words by hash, whatever the size of the vocabulary.
+WORD_FEATURES = 1 << 18
+
+
 def cluster_categories(df: DataFrame, col: str, n_clusters: int = 5, seed: int = 42) -> DataFrame:
     """(value, n, cluster): group the texts of a column by tf-idf weight and k-means.
 
     Works on distinct values weighted by their counts, so repeated texts cost one row. Document
-    frequencies are sums of those counts. Every word of the column is a feature; none is dropped.
+    frequencies are sums of those counts, one per word, in a table that stays in Spark. Every word counts;
+    words are numbered by hash modulo ``WORD_FEATURES``, and two words of one number add their weights.
     """
     from pyspark.ml.clustering import KMeans
-    from pyspark.ml.feature import CountVectorizer, ElementwiseProduct, Normalizer, RegexTokenizer
-    from pyspark.ml.linalg import Vectors
+    from pyspark.ml.feature import Normalizer, RegexTokenizer
+    from pyspark.ml.linalg import Vectors, VectorUDT
 
     values = value_counts(df, [col]).select("value", "n")
     tokens = RegexTokenizer(inputCol="value", outputCol="words", pattern=r"[^\p{L}\p{N}_]+", minTokenLength=2
                             ).transform(values)
-    words = tokens.select(F.explode("words").alias("word")).agg(F.count_distinct("word")).first()[0]
-    model = CountVectorizer(inputCol="words", outputCol="counts", vocabSize=max(words, 1)).fit(tokens)
     total = df.where(quoted(col).isNotNull()).count()
-    vocabulary = model.vocabulary
-    # the vocabulary of the vectorizer is on the driver already; this has one number per word of it
-    freq = {r["word"]: r["d"] for r in tokens.select("n", F.explode(F.array_distinct("words")).alias("word"))
-            .groupBy("word").agg(F.sum("n").alias("d")).collect()}
-    weights = [math.log((1 + total) / (1 + freq.get(w, 0))) + 1 for w in vocabulary]
-    scaled = ElementwiseProduct(scalingVec=Vectors.dense(weights), inputCol="counts", outputCol="weighted")
-    unit = Normalizer(inputCol="weighted", outputCol="features")
-    features = unit.transform(scaled.transform(model.transform(tokens)))
+    counts = tokens.select("value", "n", F.explode("words").alias("word")).groupBy("value", "n", "word").agg(
+        F.count(F.lit(1)).alias("times"))
+    rarity = counts.groupBy("word").agg((F.log((1 + F.lit(total)) / (1 + F.sum("n"))) + 1).alias("idf"))
+    width = WORD_FEATURES
+    weighted = counts.join(rarity, "word").groupBy("value", F.pmod(F.xxhash64("word"), F.lit(width)).cast("int").alias("at")).agg(
+        F.sum(F.col("times") * F.col("idf")).alias("weight"))
+    pieces = weighted.groupBy("value").agg(F.array_sort(F.collect_list(F.struct("at", "weight"))).alias("pieces"))
+    vector = F.udf(lambda p: Vectors.sparse(width, [x["at"] for x in p or []], [x["weight"] for x in p or []]), VectorUDT())
+    rows = values.join(pieces, "value", "left").select("value", "n", vector("pieces").alias("weighted"))
+    features = Normalizer(inputCol="weighted", outputCol="features").transform(rows)
     kmeans = KMeans(k=n_clusters, seed=seed, weightCol="n", featuresCol="features", predictionCol="cluster")
     return kmeans.fit(features).transform(features).select("value", "n", "cluster")
 

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tablemill.operators import correlate, drift, outliers, project, scale, types
+from tablemill.operators import correlate, drift, encode, outliers, project, scale, types
 
 
 @pytest.fixture(scope="module")
@@ -136,3 +136,21 @@ def test_scaler_round_trip(spark):
     df = spark.createDataFrame([(float(i), float(i * i)) for i in range(20)], "x double, y double")
     scaler = scale.fit_robust(df, ["x", "y"])
     assert scale.scaler_from(scale.scaler_table(spark, scaler)) == scaler
+
+
+def test_words_of_categories_stay_in_spark(spark, monkeypatch):
+    """The vocabulary of a column does not come to the driver, and texts without words get a cluster too."""
+    from pyspark.ml.feature import CountVectorizer
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    rows, collect = [], DataFrame.collect
+    monkeypatch.setattr(DataFrame, "collect", lambda df: rows.append(collect(df)) or rows[-1])
+    monkeypatch.setattr(CountVectorizer, "fit", lambda *a: pytest.fail("a vocabulary on the driver"))
+    texts = [f"red apple w{i}" for i in range(200)] + [f"blue stone v{i}" for i in range(200)] + ["-", "red apple w1"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    out = encode.cluster_categories(df, "t", 3)
+    assert sum(map(len, rows)) < 100
+    found = {r["value"]: (r["n"], r["cluster"]) for r in collect(out)}
+    assert len(found) == 401 and found["red apple w1"][0] == 2 and all(0 <= c < 3 for _, c in found.values())
+    red, blue = ({found[t][1] for t in found if t.startswith(w)} for w in ("red", "blue"))
+    assert not red & blue
