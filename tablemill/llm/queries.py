@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tablemill.llm import contamination, licences, oracles, packing, paragraphs, quality_model, quality_rules, sharding, similar, token_counts, wavelet
+from tablemill.llm import contamination, fingerprints, licences, oracles, packing, paragraphs, quality_model, quality_rules, sharding, similar, token_counts, wavelet
 from tablemill.sources.tables import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -78,3 +78,8 @@ def op2_paragraph_dedup(spark, folder):
 @query("op10_licence_scan", oracles.licences_sql())
 def op10_licence_scan(spark, folder):
     return licences.scan(licences.document_paths(read_table(spark, folder, "documents"))).drop("text")
+
+
+@query("op11_document_fingerprints")
+def op11_document_fingerprints(spark, folder):
+    return fingerprints.fingerprint_edits(read_table(spark, folder, "documents"))
