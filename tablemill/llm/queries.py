@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tablemill.llm import contamination, fingerprints, licences, oracles, packing, paragraphs, quality_model, quality_rules, sharding, similar, token_counts, wavelet
+from tablemill.llm import contamination, fingerprints, licences, oracles, packing, paragraphs, quality_model, quality_rules, sharding, similar, spelling, token_counts, wavelet
 from tablemill.sources.tables import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -83,3 +83,8 @@ def op10_licence_scan(spark, folder):
 @query("op11_document_fingerprints")
 def op11_document_fingerprints(spark, folder):
     return fingerprints.fingerprint_edits(read_table(spark, folder, "documents"))
+
+
+@query("op13_spelling_variants")
+def op13_spelling_variants(spark, folder):
+    return spelling.spelling_variants(read_table(spark, folder, "documents"))
