@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tablemill.llm import contamination, fingerprints, licences, oracles, packing, paragraphs, quality_model, quality_rules, sharding, similar, spelling, token_counts, wavelet
+from tablemill.llm import contamination, conversations, fingerprints, licences, oracles, packing, paragraphs, quality_model, quality_rules, sharding, similar, spelling, token_counts, wavelet
 from tablemill.sources.tables import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -88,3 +88,8 @@ def op11_document_fingerprints(spark, folder):
 @query("op13_spelling_variants")
 def op13_spelling_variants(spark, folder):
     return spelling.spelling_variants(read_table(spark, folder, "documents"))
+
+
+@query("op12_conversation_repair")
+def op12_conversation_repair(spark, folder):
+    return conversations.repair_conversations(read_table(spark, folder, "conversations"))
