@@ -9,8 +9,8 @@ import regex
 
 from tablemill.llm.words import LOWER, SPACE, hash_spans, kind_spans, pieces
 
-#: Words that a worker remembers, and bytes of text it looks at together.
-REMEMBERED, SLICE = 200_000, 1 << 19
+#: Words that a worker remembers (about 25 bytes each), and bytes of text it looks at together.
+REMEMBERED, SLICE = 1_500_000, 1 << 19
 #: Words of the letters, digits and signs that neither normalizing nor lower case takes apart or joins.
 PLAIN = regex.compile(r"[!-;=-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017f]+")
 #: The splitting rule of word_bpe_49k.json (fixed value), to count the parts of a word.
@@ -68,8 +68,9 @@ class WordEncoder:
         vocabulary = self.library.get_vocab()
         self.closes = np.zeros(max(vocabulary.values()) + 1, bool)
         self.closes[[i for word, i in vocabulary.items() if word.endswith("</w>")]] = True
-        self.known: dict[bytes, int] = {}
-        self.begin, self.length, self.ids_ = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint16)
+        # hashes of the words, ascending; where the ids of each begin, and how many there are
+        self.known, self.begin, self.length = np.zeros(0, np.uint64), np.zeros(0, np.int32), np.zeros(0, np.int32)
+        self.ids_ = np.zeros(0, np.uint16)
 
     def _coded(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all words, tokens of each). Plain words go to the library as one text, since their number of
@@ -99,26 +100,27 @@ class WordEncoder:
             out[begin[i]:begin[i] + length[i]] = coded[i]
         return out, length
 
-    def _lookup(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(ids, begin, length): where the ids of each word stand. New words are encoded, and remembered while the
-        table has room; the words that fill it first are the frequent ones."""
-        known = self.known
-        place = np.array([known.get(w, -1) for w in words], np.int64)
-        new = np.flatnonzero(place < 0)
+    def _lookup(self, hashes: np.ndarray, flat: bytes, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids, begin, length): where the ids of the words with these ascending hashes stand. Only new words are cut out
+        of the text and encoded. They are remembered while the table has room; the words that fill it first are the
+        frequent ones."""
+        place = np.searchsorted(self.known, hashes)
+        old = place < len(self.known)
+        old[old] = self.known[place[old]] == hashes[old]
+        begin, length = np.zeros(len(hashes), np.int64), np.zeros(len(hashes), np.int64)
+        begin[old], length[old] = self.begin[place[old]], self.length[place[old]]
+        new = np.flatnonzero(~old)
         if not len(new):
-            return self.ids_, self.begin[place], self.length[place]
-        fresh = [words[i] for i in new]
-        ids, length = self._coded([w.decode("utf-8", "surrogatepass") for w in fresh])
-        begin = len(self.ids_) + np.cumsum(length) - length
+            return self.ids_, begin, length
+        fresh = [flat[a:b].decode("utf-8", "surrogatepass") for a, b in zip(starts[new].tolist(), ends[new].tolist())]
+        ids, length[new] = self._coded(fresh)
+        begin[new] = len(self.ids_) + np.cumsum(length[new]) - length[new]
         table = np.concatenate([self.ids_, ids])
-        starts, sizes = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
-        old = place >= 0
-        starts[old], sizes[old] = self.begin[place[old]], self.length[place[old]]
-        starts[new], sizes[new] = begin, length
-        if len(known) + len(fresh) <= REMEMBERED:
-            known.update(zip(fresh, range(len(known), len(known) + len(fresh))))
-            self.ids_, self.begin, self.length = table, np.concatenate([self.begin, begin]), np.concatenate([self.length, length])
-        return table, starts, sizes
+        if len(self.known) + len(new) <= REMEMBERED:
+            self.known, self.ids_ = np.insert(self.known, place[new], hashes[new]), table
+            self.begin = np.insert(self.begin, place[new], begin[new])
+            self.length = np.insert(self.length, place[new], length[new])
+        return table, begin, length
 
     def _slice(self, raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(ids, first byte of each stretch, tokens of each stretch)."""
@@ -127,9 +129,8 @@ class WordEncoder:
         starts, ends = kind_spans(kind)
         if not len(starts):
             return np.zeros(0, np.uint16), starts, starts
-        _, first, back = np.unique(hash_spans(array, starts, ends), return_index=True, return_inverse=True)
-        flat = array.tobytes()
-        table, begin, length = self._lookup([flat[a:b] for a, b in zip(starts[first].tolist(), ends[first].tolist())])
+        hashes, first, back = np.unique(hash_spans(array, starts, ends), return_index=True, return_inverse=True)
+        table, begin, length = self._lookup(hashes, array.tobytes(), starts[first], ends[first])
         counts = length[back]
         at = np.repeat(begin[back] - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())
         return table[at], starts, counts
