@@ -247,29 +247,30 @@ class Chain:
 def _chained(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     names = ["key", "part", "number", "letters", "answer", "cost", "audit", "blank", "duplicate", "truncated", "illegal"]
 
-    def ended(key: str, chain: Chain) -> pd.DataFrame:
+    def ended(key: str, chain: Chain) -> list[tuple]:
         cost, audit, blocks = chain.end()
         c = chain.count
-        rows = [(key, *b, None, None, None, None, None, None) for b in blocks]
-        rows.append((key, None, None, None, None, cost, audit, c["blank"], c["duplicate"], c["truncated"], c["illegal"]))
+        return [(key, *b, None, None, None, None, None, None) for b in blocks] + [
+            (key, None, None, None, None, cost, audit, c["blank"], c["duplicate"], c["truncated"], c["illegal"])]
+
+    def frame(rows: list[tuple]) -> pd.DataFrame:
         return pd.DataFrame(rows, columns=names).astype({c: "Int64" for c in ("part", "number", "cost", "blank", "duplicate", "truncated", "illegal")})
 
-    key, chain, out, size = None, None, [], 0
+    key, chain, out = None, None, []
     for pdf in batches:
         for row in pdf.itertuples(index=False):
             if chain is None or row.key != key:
                 if chain is not None:
-                    out.append(ended(key, chain))
-                    size += len(out[-1])
-                    if size > 5000:
-                        yield pd.concat(out, ignore_index=True)
-                        out, size = [], 0
+                    out += ended(key, chain)
+                    if len(out) > 5000:
+                        yield frame(out)
+                        out = []
                 key, chain = row.key, Chain()
             chain.add(row)
     if chain is not None:
-        out.append(ended(key, chain))
+        out += ended(key, chain)
     if out:
-        yield pd.concat(out, ignore_index=True)
+        yield frame(out)
 
 
 def _repaired(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
