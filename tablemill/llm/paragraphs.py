@@ -14,7 +14,7 @@ from tablemill.llm.similar import THRESHOLD, WORDS, exact_links
 from tablemill.llm.words import distinct_grams, grams, hashed_words, minhash, sequence_hashes, spans
 from tablemill.operators.cluster.components import connected_components
 from tablemill.operators.joins import small_side
-from tablemill.session import materialised
+from tablemill.session import checkpointed, materialised
 
 #: Paragraphs with fewer words are left alone: short lines repeat by chance and by custom.
 LEAST_WORDS = 25
@@ -112,7 +112,7 @@ def _node() -> Column:
 
 def _near_paragraphs(light: DataFrame, lines: DataFrame) -> DataFrame:
     """(node, label) of the paragraphs that have a near copy: bands, exact similarity, components."""
-    rows = lines.select("one", F.explode("bands").alias("bucket"))
+    rows = lines.select("one", F.explode("bands").alias("bucket")).distinct()
     full = rows.groupBy("bucket").agg(F.min("one").alias("a"), F.max("one").alias("z")).where("a < z").select("bucket", "a")
     edges = rows.join(full, "bucket").where("one <> a").select("a", F.col("one").alias("b")).distinct()
     groups = connected_components(edges).select(F.col("node").alias("one"), F.col("label").alias("group"))
@@ -138,6 +138,11 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     the first unit in (doc_id, text, position) order stays, all others are listed, with the one that stays. A run is
     grown to the whole stretch of words that its document shares with the one that keeps it.
 
+    Near copies are settled first. A run inside a line that goes as a near copy is not the one that stays, and runs
+    grow only over words that their keeper keeps, so the words of a run that is listed always remain at an earlier place;
+    only what near copies of a paragraph have of their own, and nothing but such copies holds, is lost with them. In a text that repeats one word or phrase the
+    first place stays, which may be shorter than a run, since the places overlap.
+
     Every place of a repeated run and of a repeated paragraph counts, across documents and within one. Rows that
     agree in doc_id and text are one document. NULL or empty texts have no units. An empty table has no passages.
     """
@@ -158,15 +163,26 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     equal_lines = repeated(plain.join(small_side(near.select("node")), "node", "left_anti")).withColumn("cluster", F.col("node"))
     equal_runs = repeated(runs).withColumn("cluster", F.concat(F.lit(RUN_MARK).cast("binary"), _node()))
     columns = ["doc_id", "print", "start", "size", "cluster"]
-    found = near_lines.select(*columns).unionByName(equal_lines.select(*columns)).unionByName(equal_runs.select(*columns))
-    found = materialised(found.distinct(), "occurrences")
-    first = found.groupBy("cluster").agg(F.min(F.struct("doc_id", "print", "start")).alias("kept"), F.count(F.lit(1)).alias("n"))
-    first = first.where("n > 1").drop("n")
-    out = found.join(first, "cluster").where(~F.struct("doc_id", "print", "start").eqNullSafe(F.col("kept")))
-    out = materialised(out.select("doc_id", "print", "start", "size", "cluster", F.col("kept.doc_id").alias("kept_doc_id"),
-                                  F.col("kept.print").alias("kept_print"), F.col("kept.start").alias("kept_start")), "repeated")
-    run = F.substring("cluster", 1, len(RUN_MARK)) == F.lit(RUN_MARK).cast("binary")
-    return out.where(~run).unionByName(_whole_passages(light, out.where(run)))
+    out = _later(materialised(near_lines.select(*columns).unionByName(equal_lines.select(*columns)).distinct(), "lines"), F.lit(False))
+    gone = materialised(out, "removed_lines")
+    cuts = checkpointed(gone.groupBy(F.col("doc_id").alias("_id"), F.col("print").alias("_print")).agg(
+        F.collect_set(F.struct("start", (F.col("start") + F.col("size")).alias("stop"))).alias("cuts")))
+    # words of a near copy go without standing anywhere else, so no run is kept where such a line goes
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("print") == F.col("_print"))
+    covered = F.coalesce(F.exists("cuts", lambda c: (c["start"] < F.col("start") + F.col("size")) & (c["stop"] > F.col("start"))), F.lit(False))
+    placed = equal_runs.select(*columns).distinct().join(small_side(cuts, True), same, "left").withColumn("covered", covered)
+    runs = materialised(_later(materialised(placed.select(*columns, "covered"), "occurrences"), F.col("covered")), "repeated")
+    return gone.unionByName(_whole_passages(light, runs, cuts))
+
+
+def _later(found: DataFrame, covered: Column) -> DataFrame:
+    """Of each cluster all uncovered units but the first, with the place of the first."""
+    place = F.struct("doc_id", "print", "start")
+    open_ = found.where(~covered)
+    first = open_.groupBy("cluster").agg(F.min(place).alias("kept"), F.count(F.lit(1)).alias("n"))
+    out = open_.join(first.where("n > 1").drop("n"), "cluster").where(~place.eqNullSafe(F.col("kept")))
+    return out.select("doc_id", "print", "start", "size", "cluster", F.col("kept.doc_id").alias("kept_doc_id"),
+                      F.col("kept.print").alias("kept_print"), F.col("kept.start").alias("kept_start"))
 
 
 def _common(a: np.ndarray, b: np.ndarray) -> int:
@@ -187,13 +203,16 @@ def _extended(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for row in pdf.itertuples():
             hashes, (m, _) = hashed_words([row.text, row.kept_text])
             own, kept = hashes[:m], hashes[m:]
+            cuts = [] if row.cuts is None else [(c["start"], c["stop"]) for c in row.cuts]
             done, grown = {}, []
             for start, other in sorted((x["start"], x["kept_start"]) for x in row.seeds):
                 lag = other - start
                 if start < done.get(lag, 0):
                     continue
-                first = start - _common(own[:start][::-1], kept[:other][::-1])
-                last = start + _common(own[start:], kept[other:])
+                low = max((stop for _, stop in cuts if stop <= other), default=0)  # words that go are not kept
+                high = min((begin for begin, _ in cuts if begin >= other + RUN), default=len(kept))
+                first = start - _common(own[:start][::-1], kept[low:other][::-1])
+                last = start + _common(own[start:], kept[other:high])
                 done[lag] = last
                 if last - first >= RUN:
                     grown.append((first, -last, lag))
@@ -206,8 +225,8 @@ def _extended(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield found.astype({"doc_id": "Int64", "kept_doc_id": "Int64"}) if pdf["doc_id"].dtype.kind in "if" else found
 
 
-def _whole_passages(light: DataFrame, runs: DataFrame) -> DataFrame:
-    """Equal runs grown to the whole passages that the two documents share, word by word."""
+def _whole_passages(light: DataFrame, runs: DataFrame, cuts: DataFrame) -> DataFrame:
+    """Equal runs grown to the whole passages that the two documents share, word by word, as far as the keeper keeps them."""
     key = ["doc_id", "print", "kept_doc_id", "kept_print"]
     pairs = runs.groupBy(*key).agg(F.collect_set(F.struct("start", "kept_start")).alias("seeds"))
     ends = pairs.select("doc_id", "print").unionByName(pairs.select(
@@ -219,6 +238,7 @@ def _whole_passages(light: DataFrame, runs: DataFrame) -> DataFrame:
     same = lambda a, b, c, d: F.col(a).eqNullSafe(F.col(b)) & (F.col(c) == F.col(d))
     both = pairs.join(named("_id", "_print", "text"), same("doc_id", "_id", "print", "_print")).drop("_id", "_print")
     both = both.join(named("_id", "_print", "kept_text"), same("kept_doc_id", "_id", "kept_print", "_print")).drop("_id", "_print")
+    both = both.join(small_side(cuts, True), same("kept_doc_id", "_id", "kept_print", "_print"), "left").drop("_id", "_print")
     kind = light.schema["doc_id"].dataType.simpleString()
     found = both.mapInPandas(_extended, f"doc_id {kind}, print long, start int, size int, kept_doc_id {kind}, kept_print long, kept_start int")
     place = F.concat_ws("/", "kept_doc_id", "kept_print", "kept_start", "size")

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tablemill.llm import encode, packing, paragraphs, quality_model, similar, stages, token_counts, wavelet, words as W
 from tablemill.sources.tables import read_table
+from conftest import frame
 from llm_rows import CLASH, prose, words
 
 SMALL = "/root/testdata/sf0.001"
@@ -331,3 +332,34 @@ def test_pipeline_stages(spark):
         assert docs.count() > 100 and (k == 4 or docs.columns == columns)
     assert [f for _, f in corpus_pipeline.STAGES] == [
         stages.good_documents, stages.different_documents, stages.unrepeated_passages, stages.uncontaminated, stages.packed]
+
+
+def test_no_passage_loses_its_last_copy(spark):
+    """A near copy that goes may not be what another document's passage is kept by."""
+    p, x = words("long", 700), words("inner", 60)
+    rows = [(1, " ".join(p)), (2, " ".join(p[:350] + x + p[350:])), (3, " ".join(words("other", 40) + x + words("end", 40)))]
+    rows += [(4, " ".join(words("fourth", 30) + x + words("tail", 30)))]
+    left = dict(paragraphs.remove_repeated(frame(spark, rows).select("doc_id", "text")).collect())
+    assert 2 not in left and left[1] == rows[0][1] and left[3] == rows[2][1] and left[4] == " ".join(words("fourth", 30) + words("tail", 30))
+    r = random.Random(9)
+    pool = [words(f"pool{k}", r.choice([30, 60, 90, 200])) for k in range(14)]
+    many = []
+    for i in range(40):  # lines put together from shared blocks, some with a few words changed
+        lines = []
+        for _ in range(r.randint(1, 3)):
+            line = [w for b in r.sample(range(14), r.randint(1, 3)) for w in pool[b]]
+            lines.append(" ".join(w if r.random() > .01 else "zz" for w in line) if r.random() < .4 else " ".join(line))
+        many.append((i, "\n".join(lines)))
+    found = paragraphs.repeated_passages(frame(spark, many)).collect()
+    text = {i: t.split() for i, t in many}
+    line_ends = {i: [0, *np.cumsum([len(x.split()) for x in t.split("\n")])] for i, t in many}
+    whole = lambda p: p["start"] in line_ends[p["doc_id"]] and p["start"] + p["size"] in line_ends[p["doc_id"]]
+    equal = lambda p: text[p["doc_id"]][p["start"]:p["start"] + p["size"]] == text[p["kept_doc_id"]][p["kept_start"]:p["kept_start"] + p["size"]]
+    near = [p for p in found if not equal(p)]
+    assert all(whole(p) for p in near) and len(near) > 3 and len(found) - len(near) > 20
+    for p in found:
+        assert (p["kept_doc_id"], p["kept_start"]) < (p["doc_id"], p["start"])
+        if p not in near:  # what stands for equal words is in no near copy that goes
+            last = p["kept_start"] + p["size"]
+            lost = [q for q in near if q["doc_id"] == p["kept_doc_id"] and q["start"] < last and q["start"] + q["size"] > p["kept_start"]]
+            assert not lost or whole(p), (p, lost)
