@@ -9,12 +9,13 @@ from tablemill.catalog.profiling import rounded
 from tablemill.catalog.registry import query
 from tablemill.catalog.samples import CENTRES, LINE_SCALED, nearest_sql
 from tablemill.operators import project, reports
-from tablemill.operators.cluster import density, kmeans, metrics, mixture
+from tablemill.operators.cluster import condensed, density, kmeans, metrics, mixture
 from tablemill.operators.cluster.compare import compare_models
 from tablemill.operators.cluster.dbscan import dbscan
 from tablemill.operators.cluster.neighbours import neighbour_distances
 from tablemill.operators.scale import apply_scaler, fit_standard
 from tablemill.plans.clustering import cluster_table
+from tablemill.session import materialised
 from tablemill.sources.tables import products, read_table
 
 KEYS = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
@@ -213,10 +214,57 @@ def clu8b(spark, d):
     return out.join(first, "cluster").select("id", "first_id")
 
 
-@query("clu9_density_scan")
+def cuts_sql(eps: str, samples: list[int]) -> str:
+    """CTEs of DBSCAN at all radii ``eps`` (k, eps) and neighbour counts over the distinct customers.
+
+    ``lab`` (node, m, k, root) holds core and border points; the root is the first point of the cluster.
+    """
+    return f"""WITH RECURSIVE {CUSTOMERS_SQL}, u AS (SELECT x, y, count(*) AS w, row_number() OVER (ORDER BY x, y) - 1 AS node FROM c GROUP BY x, y),
+eps AS ({eps}), ms AS (SELECT unnest({samples}) AS m),
+nb AS (SELECT p.node AS a, q.node AS b, q.w, sqrt(pow(p.x - q.x, 2) + pow(p.y - q.y, 2)) AS d FROM u p, u q
+ WHERE pow(p.x - q.x, 2) + pow(p.y - q.y, 2) <= (SELECT max(eps) * max(eps) * 1.0001 FROM eps)),
+sums AS (SELECT a, d, sum(w) OVER (PARTITION BY a ORDER BY d) AS total FROM nb),
+core AS (SELECT a AS node, m, min(d) AS core FROM sums JOIN ms ON total >= m GROUP BY a, m),
+alive AS (SELECT node, m, k, eps FROM core JOIN eps ON core <= eps),
+g AS (SELECT nb.a, nb.b, s.m, s.k FROM nb JOIN alive s ON s.node = nb.a JOIN alive t ON t.node = nb.b AND t.m = s.m AND t.k = s.k WHERE nb.d <= s.eps AND nb.a <> nb.b),
+cc(node, m, k, root) USING KEY (node, m, k) AS (SELECT node, m, k, node FROM alive UNION
+ (SELECT g.b, g.m, g.k, min(cc.root) FROM cc JOIN g ON g.a = cc.node AND g.m = cc.m AND g.k = cc.k
+  JOIN recurring.cc o ON o.node = g.b AND o.m = g.m AND o.k = g.k WHERE cc.root < o.root GROUP BY g.b, g.m, g.k)),
+border AS (SELECT nb.a AS node, s.m, s.k, min(cc.root) AS root FROM nb JOIN alive s ON s.node = nb.b AND nb.d <= s.eps
+ JOIN cc ON cc.node = s.node AND cc.m = s.m AND cc.k = s.k ANTI JOIN alive t ON t.node = nb.a AND t.m = s.m AND t.k = s.k GROUP BY ALL),
+lab AS (SELECT node, m, k, root FROM cc UNION ALL SELECT node, m, k, root FROM border)"""
+
+
+EPS_SQL = """SELECT i AS k, v.m * 0.5 + i * (v.m * 1.5) / 9 AS eps FROM (SELECT avg(d2) / 2 AS m FROM (
+ SELECT (SELECT list_sort(list(sqrt(pow(p.x - q.x, 2) + pow(p.y - q.y, 2))))[2] FROM c q) AS d2 FROM c p)) v, range(10) r(i)"""
+CUT_SCORES_SQL = cuts_sql(EPS_SQL, list(range(2, 11))) + """,
+every AS (SELECT u.x, u.y, u.w, ms.m, eps.k, coalesce(lab.root, -1) AS label FROM u CROSS JOIN ms CROSS JOIN eps LEFT JOIN lab ON lab.node = u.node AND lab.m = ms.m AND lab.k = eps.k),
+cen AS (SELECT m, k, label, sum(w) AS n, sum(w * x) / sum(w) AS cx, sum(w * y) / sum(w) AS cy FROM every GROUP BY ALL),
+mid AS (SELECT m, k, sum(w * x) / sum(w) AS mx, sum(w * y) / sum(w) AS my, sum(w) AS rows FROM every GROUP BY ALL),
+within AS (SELECT m, k, sum(w * (pow(x - cx, 2) + pow(y - cy, 2))) AS s FROM every JOIN cen USING (m, k, label) GROUP BY ALL),
+between AS (SELECT m, k, sum(n * (pow(cx - mx, 2) + pow(cy - my, 2))) AS s, count(*) AS labels, count(*) FILTER (label >= 0) AS n_clusters,
+ coalesce(sum(n) FILTER (label < 0), 0) AS n_noise, any_value(rows) AS rows FROM cen JOIN mid USING (m, k) GROUP BY ALL),
+scores AS (SELECT m, k, n_clusters, n_noise, labels, (between.s / nullif(labels - 1, 0)) / (within.s / nullif(rows - labels, 0)) AS score FROM between JOIN within USING (m, k))
+"""
+
+
+@query("clu9_density_scan", CUT_SCORES_SQL + """SELECT round(eps, 9) AS eps, CAST(m AS INTEGER) AS min_samples, round(score, 6) AS score
+FROM scores JOIN eps USING (k) WHERE n_clusters > 0 AND labels > 1""")
 def clu9(spark, d):
-    rows = density.scan(customers(spark, d), ["x", "y"], "id", [0.12, 0.2], [4, 8], "calinski_harabasz")
-    return spark.createDataFrame(rows, "eps double, min_samples int, score double")
+    """The whole default grid: ten radii, two to ten neighbours."""
+    rows = density.scan(customers(spark, d), ["x", "y"], "id", method="calinski_harabasz")
+    return spark.createDataFrame([(round(e, 9), m, round(v, 6)) for e, m, v in rows], "eps double, min_samples int, score double")
+
+
+@query("clu9_cut_counts", CUT_SCORES_SQL + """SELECT CAST(k AS INTEGER) AS step, CAST(m AS INTEGER) AS min_samples, CAST(n_clusters AS BIGINT) AS n_clusters,
+CAST(n_noise AS BIGINT) AS n_noise FROM scores""")
+def clu9c(spark, d):
+    df = customers(spark, d)
+    eps = density.eps_range(df, ["x", "y"], "id")
+    graph = density.reachability(df, ["x", "y"], eps, list(range(2, 11)))
+    table = density.cut_scores(graph, materialised(graph.cuts(eps), "cuts"), eps)
+    step = F.array_position(F.array(*[F.lit(e) for e in eps]), F.col("eps")).cast("int") - 1
+    return table.select(step.alias("step"), F.col("m").alias("min_samples"), F.col("n_clusters").cast("long").alias("n_clusters"), "n_noise")
 
 
 @query("clu9_eps_range", f"""WITH {CUSTOMERS_SQL}, n AS (SELECT p.id, (SELECT list_sort(list(sqrt(pow(p.x - q.x, 2) + pow(p.y - q.y, 2))))[2] FROM c q) AS d2 FROM c p),
@@ -250,11 +298,22 @@ def clu11(spark, d):
     return rounded(density.core_distances(customers(spark, d), ["x", "y"], "id", 5), 6, "distance")
 
 
-@query("clu11_density_cuts")
+@query("clu11_density_cuts", cuts_sql("SELECT k, CAST(eps AS DOUBLE) AS eps FROM (VALUES (0, 0.1), (1, 0.2)) v(k, eps)", [5]) + """
+SELECT c.id, eps.eps, coalesce(lab.root, -1) AS cluster FROM c JOIN u ON u.x = c.x AND u.y = c.y CROSS JOIN eps LEFT JOIN lab ON lab.node = u.node AND lab.k = eps.k""")
 def clu11b(spark, d):
     return density.density_cuts(customers(spark, d), ["x", "y"], "id", 5, [0.1, 0.2])
 
 
+@query("clu11_lasting_clusters", "SELECT count(*) AS n, true AS large, true AS several FROM customer")
+def clu11c(spark, d):
+    """Facts of the condensed tree: every row once, clusters of at least 20 rows, more than one of them."""
+    out = condensed.clusters(customers(spark, d), ["x", "y"], 5, 20)
+    sizes = out.groupBy("cluster").agg(F.count(F.lit(1)).alias("size"))
+    inner = F.col("cluster") >= 0
+    return sizes.agg(F.sum("size").alias("n"), F.coalesce(F.min(F.when(inner, F.col("size"))) >= 20, F.lit(True)).alias("large"),
+                     (F.count_if(inner) > 1).alias("several"))
+
+
 @query("clu12_model_comparison")
 def clu12(spark, d):
     done = compare_models(customers(spark, d), ["x", "y"], "id", kmeans={"k": 3, "n_init": 1},
