@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tablemill.functions.numbers import quoted
@@ -13,7 +15,7 @@ from tablemill.session import shared_root
 #: Texts that Python works on at once, in bytes; a longer text is worked on alone.
 GROUP_BYTES = 1 << 19
 #: Rows go to Python in batches of at most so many bytes, however long their texts are.
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 2 << 20
 #: Words as the contracts of the quality rules count them.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -42,6 +44,17 @@ def prepared(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def release() -> None:
+    """Give memory that a Python worker has used, but needs no more, back to the machine.
+
+    Workers live on between stages, several to an executor, and otherwise each keeps its highest mark.
+    """
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # only some C libraries have it
+    if trim:
+        trim(0)
+
+
 def text_groups(batches: Iterable[pd.DataFrame], column: str = "text",
                 limit: int = GROUP_BYTES) -> Iterator[pd.DataFrame]:
     """Consecutive rows of at most ``limit`` characters together, or one longer row."""
@@ -54,3 +67,5 @@ def text_groups(batches: Iterable[pd.DataFrame], column: str = "text",
             stop = max(int(ends.searchsorted(base + limit, "right")), start + 1)
             yield pdf.iloc[start:stop]
             start, base = stop, ends[stop - 1]
+        del pdf, ends
+        release()

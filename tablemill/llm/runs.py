@@ -8,6 +8,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
+from tablemill.llm.base import release
+
 
 def starts_of(pdf: pd.DataFrame, keys: list[str]) -> np.ndarray:
     """Positions where a run of equal keys begins, and the length at the end."""
@@ -40,6 +42,7 @@ def map_runs(df: DataFrame, keys: list[str], work: Callable[[pd.DataFrame, np.nd
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in whole_runs(batches, keys):
             yield work(pdf, starts_of(pdf, keys))
+        release()
 
     dealt = df.repartition(*[F.col(k) for k in keys]).sortWithinPartitions(*keys, *(order or []))
     return dealt.mapInPandas(each, schema)
