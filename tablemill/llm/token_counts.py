@@ -8,7 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from tablemill.llm.base import prepared, slim, text_groups
+from tablemill.llm.base import GROUP_BYTES, prepared, slim, text_groups
 from tablemill.llm.encode import tokenizer_path
 from tablemill.operators.joins import small_side
 from tablemill.session import checkpointed, materialised
@@ -90,7 +90,7 @@ def _chunk_counts(name: str):
             for text, left, right in zip(pdf["text"], pdf["left"], pdf["right"]):
                 first = stable_cut(text, 0, left) if left else 0
                 last = stable_cut(text, len(text) - right + 1, len(text)) if right else None
-                if not own.splits or first == -1 or last == -1:
+                if ((left or right) and not own.splits) or first == -1 or last == -1:
                     found.append(None)
                     continue
                 ends = own.ends(text)
@@ -103,20 +103,31 @@ def _chunk_counts(name: str):
     return each
 
 
-def _chunks(texts: DataFrame) -> DataFrame:
-    """(key, chunk, left, right, text): chunks of ``size`` characters, each with ``overlap`` more of the next.
+def _chunks(size: int, overlap: int):
+    """Rows (key, chunk, left, right, text): chunks of ``size`` characters, each with ``overlap`` more of the next.
 
-    ``left`` and ``right`` are the characters that it has in common with its neighbours.
+    ``left`` and ``right`` are the characters that a chunk has in common with its neighbours. A text is walked
+    through once, and its chunks leave the task a few at a time.
     """
-    n, size, over = F.char_length("text"), F.col("size"), F.col("overlap")
-    number = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((n - 1) / size)))
-    rows = texts.select("key", "text", "size", "overlap", n.alias("n"), number.alias("chunk"))
-    begin = F.col("chunk") * size
-    stop = F.least(begin + size, F.col("n"))
-    left = F.when(F.col("chunk") > 0, F.least(over, F.col("n") - begin)).otherwise(0)
-    right = F.least(over, F.col("n") - stop)
-    part = F.substring(F.col("text"), (begin + 1).cast("int"), (stop - begin + right).cast("int"))
-    return rows.select("key", "chunk", left.cast("int").alias("left"), right.cast("int").alias("right"), part.alias("text"))
+    names = ["key", "chunk", "left", "right", "text"]
+
+    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        out, held = [], 0
+        for pdf in batches:
+            for key, text in zip(pdf["key"], pdf["text"]):
+                n = len(text)
+                for chunk, begin in enumerate(range(0, n, size)):
+                    stop = min(begin + size, n)
+                    right = min(overlap, n - stop)
+                    out.append((key, chunk, min(overlap, n - begin) if chunk else 0, right, text[begin:stop + right]))
+                    held += stop + right - begin
+                    if held > GROUP_BYTES:
+                        yield pd.DataFrame(out, columns=names)
+                        out, held = [], 0
+        if out:
+            yield pd.DataFrame(out, columns=names)
+
+    return each
 
 
 def count_tokens(docs: DataFrame, name: str = "piece_bpe_32k.model", long: int = LONG, chunk: int = CHUNK,
@@ -127,7 +138,7 @@ def count_tokens(docs: DataFrame, name: str = "piece_bpe_32k.model", long: int =
     reach ``overlap`` characters over each cut, the chunks are dealt over all tasks and encoded, and
     neighbours are spliced at a boundary in their common characters that is proven stable and that both
     encodings hold. Where one has no such boundary, the text is cut again with chunks and overlaps four times
-    as long, until it fits one chunk. NULL and empty texts have no tokens; repeated rows each keep a row.
+    as long, until it fits one chunk, which needs no boundary; a long text without a count is an error. NULL and empty texts have no tokens; repeated rows each keep a row.
     """
     prepared(docs.sparkSession)
     light = slim(docs, doc_id="doc_id", text="text").withColumn("text", F.coalesce("text", F.lit("")))
@@ -143,7 +154,7 @@ def count_tokens(docs: DataFrame, name: str = "piece_bpe_32k.model", long: int =
     counted, width, reach = [], chunk, overlap
     kind = light.select(print_.alias("key")).schema["key"].dataType.simpleString()
     while longest:
-        parts = _chunks(rest.withColumn("size", F.lit(width)).withColumn("overlap", F.lit(reach)))
+        parts = rest.mapInPandas(_chunks(width, reach), f"key {kind}, chunk long, left int, right int, text string")
         dealt = parts.repartition(F.xxhash64("key", "chunk"))
         found = checkpointed(dealt.mapInPandas(_chunk_counts(name), f"key {kind}, chunk long, tokens long"))
         total = found.groupBy("key").agg(F.sum("tokens").alias("n_tokens"), F.count(F.when(F.col("tokens").isNull(), 1)).alias("failed"))
@@ -159,4 +170,6 @@ def count_tokens(docs: DataFrame, name: str = "piece_bpe_32k.model", long: int =
     table = counted[0]
     for more in counted[1:]:
         table = table.unionByName(more)
-    return short.unionByName(whole.drop("text").join(small_side(table), "key").select("doc_id", "n_bytes", "n_tokens"))
+    counted = whole.drop("text").join(small_side(table), "key", "left")
+    known = F.coalesce("n_tokens", F.raise_error(F.lit("a long text has no count")).cast("long"))
+    return short.unionByName(counted.select("doc_id", "n_bytes", known.alias("n_tokens")))

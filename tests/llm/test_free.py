@@ -187,6 +187,20 @@ def test_token_counts(spark, docs, rows, empty, chunk, overlap):
     assert token_counts.count_tokens(empty).count() == 0
 
 
+def test_one_huge_text_is_cut_in_linear_time(spark):
+    """Chunks leave in one walk: four times the length takes about four times as long."""
+    import time
+    part = prose(77, 20_000) + "\n"
+    took = {}
+    for times in (2, 8):
+        rows = [(1, part * times), (2, "short")]
+        start = time.time()
+        got = token_counts.count_tokens(frame(spark, rows).coalesce(1), long=4096, chunk=4096, overlap=256).collect()
+        took[times] = time.time() - start
+        assert Counter((r["doc_id"], r["n_bytes"], r["n_tokens"]) for r in got) == library_counts(rows)
+    assert took[8] < 8 * took[2] + 20
+
+
 def library_ids(rows):
     from tokenizers import Tokenizer
 
