@@ -219,14 +219,14 @@ def cuts_sql(eps: str, samples: list[int]) -> str:
 
     ``lab`` (node, m, k, root) holds core and border points; the root is the first point of the cluster.
     """
-    return f"""WITH RECURSIVE {CUSTOMERS_SQL}, u AS (SELECT x, y, count(*) AS w, row_number() OVER (ORDER BY x, y) - 1 AS node FROM c GROUP BY x, y),
-eps AS ({eps}), ms AS (SELECT unnest({samples}) AS m),
-nb AS (SELECT p.node AS a, q.node AS b, q.w, sqrt(pow(p.x - q.x, 2) + pow(p.y - q.y, 2)) AS d FROM u p, u q
+    return f"""WITH RECURSIVE {CUSTOMERS_SQL}, u AS MATERIALIZED (SELECT x, y, count(*) AS w, row_number() OVER (ORDER BY x, y) - 1 AS node FROM c GROUP BY x, y),
+eps AS MATERIALIZED ({eps}), ms AS (SELECT unnest({samples}) AS m),
+nb AS MATERIALIZED (SELECT p.node AS a, q.node AS b, q.w, sqrt(pow(p.x - q.x, 2) + pow(p.y - q.y, 2)) AS d FROM u p, u q
  WHERE pow(p.x - q.x, 2) + pow(p.y - q.y, 2) <= (SELECT max(eps) * max(eps) * 1.0001 FROM eps)),
 sums AS (SELECT a, d, sum(w) OVER (PARTITION BY a ORDER BY d) AS total FROM nb),
-core AS (SELECT a AS node, m, min(d) AS core FROM sums JOIN ms ON total >= m GROUP BY a, m),
-alive AS (SELECT node, m, k, eps FROM core JOIN eps ON core <= eps),
-g AS (SELECT nb.a, nb.b, s.m, s.k FROM nb JOIN alive s ON s.node = nb.a JOIN alive t ON t.node = nb.b AND t.m = s.m AND t.k = s.k WHERE nb.d <= s.eps AND nb.a <> nb.b),
+core AS MATERIALIZED (SELECT a AS node, m, min(d) AS core FROM sums JOIN ms ON total >= m GROUP BY a, m),
+alive AS MATERIALIZED (SELECT node, m, k, eps FROM core JOIN eps ON core <= eps),
+g AS MATERIALIZED (SELECT nb.a, nb.b, s.m, s.k FROM nb JOIN alive s ON s.node = nb.a JOIN alive t ON t.node = nb.b AND t.m = s.m AND t.k = s.k WHERE nb.d <= s.eps AND nb.a <> nb.b),
 cc(node, m, k, root) USING KEY (node, m, k) AS (SELECT node, m, k, node FROM alive UNION
  (SELECT g.b, g.m, g.k, min(cc.root) FROM cc JOIN g ON g.a = cc.node AND g.m = cc.m AND g.k = cc.k
   JOIN recurring.cc o ON o.node = g.b AND o.m = g.m AND o.k = g.k WHERE cc.root < o.root GROUP BY g.b, g.m, g.k)),
