@@ -293,6 +293,19 @@ def joi7(spark, d):
     return rounded(neighbour_distances(customers(spark, d), ["x", "y"], "id", 2), 6, "distance")
 
 
+VECTOR_COLUMNS = [f"x{i}" for i in range(6)]
+
+
+@query("joi7_six_columns", "WITH c AS (SELECT vec_id AS id, "
+       + ", ".join(f"CAST(embedding[{i + 1}] AS DOUBLE) AS {c}" for i, c in enumerate(VECTOR_COLUMNS)) + " FROM embeddings) "
+       + "SELECT p.id, round((SELECT list_sort(list(sqrt(" + " + ".join(f"pow(p.{c} - q.{c}, 2)" for c in VECTOR_COLUMNS)
+       + ")))[5] FROM c q), 6) AS distance FROM c p")
+def joi7b(spark, d):
+    vectors = read_table(spark, d, "embeddings").select(
+        F.col("vec_id").alias("id"), *[F.get("embedding", F.lit(i)).cast("double").alias(c) for i, c in enumerate(VECTOR_COLUMNS)])
+    return rounded(neighbour_distances(vectors, VECTOR_COLUMNS, "id", 5), 6, "distance")
+
+
 @query("clu11_core_distance", KTH_SQL.format(k=5))
 def clu11(spark, d):
     return rounded(density.core_distances(customers(spark, d), ["x", "y"], "id", 5), 6, "distance")
