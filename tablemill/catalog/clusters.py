@@ -9,7 +9,7 @@ from tablemill.catalog.profiling import rounded
 from tablemill.catalog.registry import query
 from tablemill.catalog.samples import CENTRES, LINE_SCALED, nearest_sql
 from tablemill.operators import project, reports
-from tablemill.operators.cluster import condensed, density, kmeans, metrics, mixture
+from tablemill.operators.cluster import condensed, density, kmeans, many, metrics, mixture
 from tablemill.operators.cluster.compare import compare_models
 from tablemill.operators.cluster.dbscan import dbscan
 from tablemill.operators.cluster.neighbours import neighbour_distances
@@ -70,16 +70,39 @@ def clu2(spark, d):
     return spark.createDataFrame(rows, "k int, score double")
 
 
-def lloyd_sql(rounds: int) -> str:
+def lloyd_sql(rounds: int, centres: list = CENTRES) -> str:
     """Unrolled k-means from fixed centres."""
     sql = f"WITH p AS ({LINES_SQL}), m0 AS (" + " UNION ALL ".join(
-        f"SELECT {i} AS k, CAST({a} AS DOUBLE) AS cx, CAST({b} AS DOUBLE) AS cy" for i, (a, b) in enumerate(CENTRES)) + ")"
+        f"SELECT {i} AS k, CAST({a} AS DOUBLE) AS cx, CAST({b} AS DOUBLE) AS cy" for i, (a, b) in enumerate(centres)) + ")"
     for r in range(rounds):
         sql += f""", n{r} AS (SELECT p.x, p.y, (SELECT arg_min(k, pow(p.x - cx, 2) + pow(p.y - cy, 2)) FROM m{r}) AS k FROM p),
 m{r + 1} AS (SELECT k, avg(x) AS cx, avg(y) AS cy FROM n{r} GROUP BY k)"""
     return sql + f" SELECT CAST(k AS INTEGER) AS cluster, round(cx, 6) AS cx, round(cy, 6) AS cy FROM m{rounds}"
 
 
+SCAN_STARTS = {k: CENTRES[:k] for k in range(2, len(CENTRES) + 1)}
+
+
+@query("clu2_scan_rounds", " UNION ALL ".join(
+    f"SELECT {k} AS k, cluster, cx, cy FROM ({lloyd_sql(3, c)})" for k, c in SCAN_STARTS.items()))
+def clu2b(spark, d):
+    """Three rounds of several k in shared scans."""
+    data = many.points(scaled_lines(spark, d), ["x", "y"])
+    paths = many.lloyd_many(data, 2, list(SCAN_STARTS.values()), max_iter=3, tol=0.0)
+    rows = [(k, i, round(float(c[0]), 6), round(float(c[1]), 6)) for k, p in zip(SCAN_STARTS, paths) for i, c in enumerate(p.centres[-1])]
+    return spark.createDataFrame(rows, "k int, cluster int, cx double, cy double")
+
+
+@query("clu2_scan_facts", "SELECT CAST(k AS INTEGER) AS k, CAST(k AS INTEGER) AS centres, true AS falling, true AS settled FROM generate_series(2, 10) g(k)")
+def clu2c(spark, d):
+    """The whole default scan: k centres for every k, inertia never rises over the rounds, the last round hardly moves."""
+    data = many.points(scaled_lines(spark, d), ["x", "y"])
+    paths = many.fit_many(data, 2, [(k, 42, "k-means||") for k in range(2, 11)])
+    rows = [(k, len(p.centres[-1]), all(b <= a * (1 + 1e-9) for a, b in zip(p.inertia, p.inertia[1:])),
+             bool(((p.centres[-1] - p.centres[-2]) ** 2).sum() <= 1e-8)) for k, p in zip(range(2, 11), paths)]
+    return spark.createDataFrame(rows, "k int, centres int, falling boolean, settled boolean")
+
+
 @query("clu3_given_centres", lloyd_sql(3))
 def clu3(spark, d):
     centres = kmeans.lloyd(scaled_lines(spark, d), ["x", "y"], CENTRES, max_iter=3, tol=0.0)

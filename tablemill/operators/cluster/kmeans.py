@@ -1,11 +1,11 @@
-"""k-means: Spark ML for seeded starts, an own loop for given centres, assignment as an expression."""
+"""k-means: all seeded starts and all k in one scan per round, assignment as an expression."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tablemill.functions.numbers import quoted
-from tablemill.operators.cluster import metrics
+from tablemill.operators.cluster import many, metrics
 from tablemill.operators.scale import apply_scaler, fit_standard
 from tablemill.session import materialised
 
@@ -56,18 +56,32 @@ def fit(df: DataFrame, cols: list[str], k: int, seed: int = 42, init: str = "k-m
 
 def scan_k(df: DataFrame, cols: list[str], id_col: str, k_min: int = 2, k_max: int = 10, method: str = "silhouette",
            seed: int = 42, **kw) -> list[tuple[int, float]]:
-    """(k, score) for every k. Inertia always favours the largest k."""
-    out = []
-    for k in range(k_min, k_max + 1):
-        labelled = assign(df, cols, fit(df, cols, k, seed))
-        out.append((k, metrics.score(labelled, cols, id_col, method, **kw)))
-    return out
+    """(k, score) for every k. Inertia always favours the largest k.
+
+    All k are fitted together (``many``), one job a round. Scores share two more jobs; only the Euclidean
+    silhouette, which compares rows with rows, is taken for one k after another.
+    """
+    data = many.points(df, cols)
+    ks = list(range(k_min, k_max + 1))
+    paths = many.fit_many(data, len(cols), [(k, seed, "k-means||") for k in ks])
+    return list(zip(ks, _scores(df, data, cols, id_col, [p.at(len(p.centres)) for p in paths], method, **kw)))
+
+
+def _scores(df: DataFrame, data: DataFrame, cols: list[str], id_col: str, models: list[Centres], method: str,
+            kind: str = "squared") -> list[float | None]:
+    if method == "silhouette" and kind != "squared":
+        return [metrics.score(assign(df, cols, c), cols, id_col, method, kind=kind) if c else None for c in models]
+    return many.scores_many(data, len(cols), models, method)
 
 
 def tune(df: DataFrame, cols: list[str], id_col: str, k: int, method: str = "multiple_init", n_init: int = 10,
          max_iter: int = 300, seed: int = 42, init_centres: Centres | None = None, grid: dict | None = None,
          score: str = "silhouette") -> Centres:
-    """``multiple_init`` (best of seeded starts), ``grid_search`` or ``custom_init`` (given centres)."""
+    """``multiple_init`` (best of seeded starts), ``grid_search`` or ``custom_init`` (given centres).
+
+    All starts are fitted together, one job a round. Options that differ only in their number of rounds read the
+    same path at different places. Equal scores go to the option named first.
+    """
     if method == "custom_init":
         if init_centres is None:
             raise ValueError("init_centres is needed")
@@ -79,13 +93,13 @@ def tune(df: DataFrame, cols: list[str], id_col: str, k: int, method: str = "mul
         options = [(i, m, seed + s) for i in grid["init"] for m in grid["max_iter"] for s in range(max(grid["n_init"]))]
     else:
         raise ValueError(f"unknown method {method}")
-    best, best_score = None, None
-    for init, iterations, start in options:
-        centres = fit(df, cols, k, start, init, iterations)
-        value = metrics.score(assign(df, cols, centres), cols, id_col, score)
-        if value is not None and (best_score is None or value > best_score):
-            best, best_score = centres, value
-    return best
+    data = many.points(df, cols)
+    starts = list(dict.fromkeys((k, start, init) for init, _, start in options))
+    paths = dict(zip(starts, many.fit_many(data, len(cols), starts, max(m for _, m, _ in options))))
+    models = [paths[k, start, init].at(iterations) for init, iterations, start in options]
+    different = [list(c) for c in dict.fromkeys(tuple(map(tuple, c)) for c in models)]
+    scored = [(v, c) for v, c in zip(_scores(df, data, cols, id_col, different, score), different) if v is not None]
+    return [list(c) for c in max(scored, key=lambda s: s[0])[1]] if scored else None
 
 
 class KMeansResult:
