@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections import Counter
 
 from tablemill.llm import contamination, licences, quality_rules
+from tablemill.llm.licence_table import must, templates, terms
 
 
 def quality_rules_sql() -> str:
@@ -52,28 +53,30 @@ FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN items USING (doc_id)"""
 
 
 def licences_sql() -> str:
-    rows = [f"({k}, '{licence}', '{w}', {n})" for k, (licence, s) in enumerate(licences.TEMPLATES)
-            for w, n in sorted(Counter(licences.terms(s)).items())]
-    term = r"[\p{L}\p{N}]+"
+    quote = lambda w: "NULL" if w is None else f"'{w}'"
+    rows = [f"({k}, '{licence}', {quote(must(s))}, '{w}', {n})" for k, (licence, s) in enumerate(templates())
+            for w, n in sorted(Counter(terms(s)).items())]
+    term, stop = r"[\p{L}\p{N}]+", "chr(1)"
     return rf"""
 WITH p AS (SELECT doc_id, coalesce(text, '') AS text, 'corpus/' || regexp_replace(coalesce(source, 'none'), '/', '_', 'g')
   || CASE WHEN doc_id % 100 <> 0 THEN '/' || regexp_replace(coalesce(lang, 'none'), '/', '_', 'g') ELSE '' END
   || CASE WHEN doc_id % 10 <> 0 THEN '/' || CAST(doc_id // 100 AS VARCHAR) ELSE '' END AS dir FROM documents),
-tmpl(k, licence, term, n) AS (VALUES {', '.join(rows)}),
+tmpl(k, licence, must, term, n) AS (VALUES {', '.join(rows)}),
 total AS (SELECT count(*) AS n FROM p),
 df AS (SELECT term, count(*) AS d FROM (SELECT unnest(list_distinct(regexp_extract_all(lower(text), '{term}'))) AS term FROM p)
-  WHERE term IN (SELECT term FROM tmpl) GROUP BY term),
-idf AS (SELECT t.term, ln((1 + total.n) / (1 + coalesce(d, 0))) + 1 AS v FROM (SELECT DISTINCT term FROM tmpl) t LEFT JOIN df USING (term), total),
+  GROUP BY term),
+idf AS (SELECT term, ln((1 + total.n) / (1 + coalesce(d, 0))) + 1 AS v FROM (SELECT DISTINCT term FROM tmpl) t FULL JOIN df USING (term), total),
 s AS (SELECT doc_id, j, list_extract(parts, j) AS part FROM (SELECT doc_id, parts, unnest(range(1, len(parts) + 1)) AS j FROM
-  (SELECT doc_id, string_split(regexp_replace(text, '([.!?])[ \t]+', '\1' || chr(10), 'g'), chr(10)) AS parts FROM p))),
+  (SELECT doc_id, list_concat(string_split(regexp_replace(text, '([.!?])[ \t]+', '\1' || chr(10), 'g'), chr(10)),
+     string_split(regexp_replace(regexp_replace(text, '\n[^\p{{L}}\p{{N}}]*\n', {stop}, 'g'), '([.!?])[ \t\n]+', '\1' || {stop}, 'g'), {stop})) AS parts FROM p))),
 sw AS (SELECT doc_id, j, unnest(regexp_extract_all(lower(part), '{term}')) AS term FROM s),
-tf AS (SELECT doc_id, j, term, count(*) * coalesce(any_value(idf.v), any_value(ln(1 + total.n) + 1)) AS x, count(*) AS n
-  FROM sw LEFT JOIN idf USING (term), total GROUP BY doc_id, j, term),
+tf AS (SELECT doc_id, j, term, count(*) * any_value(idf.v) AS x, count(*) AS n FROM sw JOIN idf USING (term) GROUP BY doc_id, j, term),
 norm AS (SELECT doc_id, j, sqrt(sum(x * x)) AS norm, sum(n) AS words FROM tf GROUP BY doc_id, j),
 tn AS (SELECT k, licence, sqrt(sum(n * v * n * v)) AS norm FROM tmpl JOIN idf USING (term) GROUP BY k, licence),
-dots AS (SELECT doc_id, j, k, sum(x * tmpl.n * v) AS dot FROM tf JOIN tmpl USING (term) JOIN idf USING (term) GROUP BY doc_id, j, k),
+dots AS (SELECT doc_id, j, k, sum(x * tmpl.n * v) AS dot FROM tf JOIN tmpl USING (term) JOIN idf USING (term) GROUP BY doc_id, j, k
+  HAVING bool_or(must IS NULL OR must = term)),
 scored AS (SELECT doc_id, licence, words, round(dot / norm.norm / tn.norm, 6) AS score FROM dots JOIN norm USING (doc_id, j) JOIN tn USING (k)),
-best AS (SELECT * FROM scored WHERE score >= {licences.LEAST} QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, licence, words) = 1),
+best AS (SELECT * FROM scored WHERE score >= {licences.LEAST} QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, words DESC, licence) = 1),
 sized AS (SELECT doc_id, dir, len(regexp_extract_all(lower(text), '{term}')) AS size FROM p),
 said AS (SELECT dir, licence, score FROM best JOIN sized USING (doc_id) WHERE {licences.SHARE} * words >= size
   QUALIFY row_number() OVER (PARTITION BY dir ORDER BY score DESC, licence) = 1),
