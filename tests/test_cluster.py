@@ -190,3 +190,38 @@ def test_wide_distinct_counts(spark):
                                   (F.col("id").cast("decimal(38,0)") + F.lit("1" + "0" * 30).cast("decimal(38,0)")).alias("exact"))
     found = profile.profile(df)
     assert [found[c].distinct for c in ("wide", "small", "exact")] == [1000, 7, 1000]
+
+
+def test_euclidean_silhouette_of_near_far_and_repeated_rows(spark, monkeypatch):
+    """Far from the origin, with exact and near copies, a lone label and one id twice, on few blocks and on many."""
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(60, 3)) + np.array([1e6, -1e6, 0.0])
+    x[10], x[11], x[12] = x[0], x[0] + 1e-4, x[1]
+    c = np.r_[np.arange(59) % 4, 9]
+    df = spark.createDataFrame([(i, *map(float, r), int(k)) for i, (r, k) in enumerate(zip(x, c))],
+                               "id long, x double, y double, z double, cluster int")
+    gap = np.sqrt(((x[:, None] - x[None]) ** 2).sum(axis=2))
+    want = []
+    for i in range(60):
+        inner = {k: gap[i, c == k].sum() / max(1, (c == k).sum() - (k == c[i])) for k in set(c.tolist())}
+        a, b = inner.pop(int(c[i])), min(inner.values())
+        want.append(0.0 if (c == c[i]).sum() == 1 else (b - a) / max(a, b))
+    for block, least in ((60, 24), (7, 24), (7, 2)):
+        monkeypatch.setattr(metrics, "MIN_BLOCKS", least)
+        monkeypatch.setattr(metrics, "BLOCK_VALUES", 60)
+        got = dict(metrics.silhouette_values(df, ["x", "y", "z"], "id", block_rows=block).select("id", "silhouette").collect())
+        assert np.allclose([got[i] for i in range(60)], want, rtol=0, atol=1e-12)
+    twice = df.unionByName(df.where("id = 3"))
+    assert metrics.silhouette_values(twice, ["x", "y", "z"], "id").where("id = 3").count() == 1
+
+
+def test_euclidean_silhouette_copies_each_row_few_times(spark, monkeypatch):
+    """Rows are not copied once for every ``block_rows`` rows of the table."""
+    df = spark.range(3000).select("id", F.rand(1).alias("x"), (F.col("id") % 3).cast("int").alias("cluster"))
+    seen = []
+    whole = metrics.F.sequence
+    monkeypatch.setattr(metrics.F, "sequence", lambda *a: seen.append(a) or whole(*a))
+    tasks = metrics.silhouette_values(df, ["x"], "id", block_rows=10)
+    assert tasks.count() == 3000
+    copies = df.select(F.lit(0).alias("b")).limit(1).select(*[F.size(whole(*a)).alias(f"s{i}") for i, a in enumerate(seen)]).first()
+    assert max(copies) <= metrics.MIN_BLOCKS
