@@ -11,6 +11,8 @@ from tablemill.llm.words import LOWER, SPACE, hash_spans, kind_spans, pieces
 
 #: Words that a worker remembers (about 25 bytes each), and bytes of text it looks at together.
 REMEMBERED, SLICE = 1_500_000, 1 << 19
+#: New words that go to the library together: it keeps about 150 bytes for each of their tokens until it is done.
+CODED = 8_192
 #: Words of the letters, digits and signs that neither normalizing nor lower case takes apart or joins.
 PLAIN = regex.compile(r"[!-;=-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017f]+")
 #: The splitting rule of word_bpe_49k.json (fixed value), to count the parts of a word.
@@ -112,10 +114,14 @@ class WordEncoder:
         new = np.flatnonzero(~old)
         if not len(new):
             return self.ids_, begin, length
-        fresh = [flat[a:b].decode("utf-8", "surrogatepass") for a, b in zip(starts[new].tolist(), ends[new].tolist())]
-        ids, length[new] = self._coded(fresh)
+        coded = [self.ids_]
+        for at in range(0, len(new), CODED):
+            some = new[at:at + CODED]
+            fresh = [flat[a:b].decode("utf-8", "surrogatepass") for a, b in zip(starts[some].tolist(), ends[some].tolist())]
+            ids, length[some] = self._coded(fresh)
+            coded.append(ids)
         begin[new] = len(self.ids_) + np.cumsum(length[new]) - length[new]
-        table = np.concatenate([self.ids_, ids])
+        table = np.concatenate(coded)
         if len(self.known) + len(new) <= REMEMBERED:
             self.known, self.ids_ = np.insert(self.known, place[new], hashes[new]), table
             self.begin = np.insert(self.begin, place[new], begin[new])
@@ -178,3 +184,8 @@ def encoder(name: str = "word_bpe_49k.json") -> WordEncoder:
     if name not in _encoders:
         _encoders[name] = WordEncoder(name)
     return _encoders[name]
+
+
+def forget(name: str = "word_bpe_49k.json") -> None:
+    """Drop the worker's encoder with all its words; a later task of the worker makes a new one."""
+    _encoders.pop(name, None)

@@ -12,8 +12,8 @@ import pandas as pd
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
-from tablemill.llm.base import prepared, slim, text_groups
-from tablemill.llm.encode import SLICE, encoder
+from tablemill.llm.base import prepared, release, slim, text_groups
+from tablemill.llm.encode import SLICE, encoder, forget
 from tablemill.operators.joins import small_side
 from tablemill.session import materialised
 
@@ -124,7 +124,7 @@ class Packer:
         self.parts, self.held = rest, sum(len(p.ids) for p in rest)
 
 
-def _pack(name: str, window: int, with_ids: bool):
+def _pack(name: str, window: int, with_ids: bool, keep_encoder: bool):
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own = encoder(name)
         vocabulary = own.library.get_vocab()
@@ -147,14 +147,20 @@ def _pack(name: str, window: int, with_ids: bool):
                 rows += packer.add(None if pd.isna(doc_id) else doc_id, ids)
             if rows:
                 yield frame(rows)
+        if not keep_encoder:
+            del own
+            forget(name)
         rows = list(packer.pack(final=True))
         if rows:
             yield frame(rows)
+        del rows, packer
+        release()
 
     return each
 
 
-def pack_documents(docs: DataFrame, name: str = "word_bpe_49k.json", window: int = WINDOW, with_ids: bool = False) -> DataFrame:
+def pack_documents(docs: DataFrame, name: str = "word_bpe_49k.json", window: int = WINDOW, with_ids: bool = False,
+                   keep_encoder: bool = True) -> DataFrame:
     """doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset (and ids) of every piece.
 
     Documents follow each other by doc_id (NULL first, ties by text) and keep that order in the sequences.
@@ -162,7 +168,8 @@ def pack_documents(docs: DataFrame, name: str = "word_bpe_49k.json", window: int
     that waste least: padding, plus a cost for a cut after a sentence and a higher one for a cut inside.
     Only the last window of a task may stay largely empty. Every document has an end id, so a NULL or
     empty text is one token; a long document goes through in lots and may fill many sequences; repeated rows
-    are packed each. Sequences are numbered without gaps.
+    are packed each. Sequences are numbered without gaps. Workers keep the words they have encoded for later
+    tasks; without ``keep_encoder`` they drop them after each task, for jobs whose other stages need the memory.
     """
     prepared(docs.sparkSession)
     light = slim(docs, doc_id="doc_id", text="text")
@@ -170,7 +177,7 @@ def pack_documents(docs: DataFrame, name: str = "word_bpe_49k.json", window: int
     order = [F.col("doc_id"), F.xxhash64("text")]
     ordered = light.repartitionByRange(*order).sortWithinPartitions(*order)
     schema = f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence long, offset long, part int"
-    pieces = materialised(ordered.mapInPandas(_pack(name, window, with_ids), schema + (", ids array<int>" if with_ids else "")), "pieces")
+    pieces = materialised(ordered.mapInPandas(_pack(name, window, with_ids, keep_encoder), schema + (", ids array<int>" if with_ids else "")), "pieces")
     parts = pieces.groupBy("part").agg((F.max("sequence") + 1).alias("n"))
     before = F.sum("n").over(Window.orderBy("part")) - F.col("n")  # one line per task
     placed = pieces.join(small_side(parts.select("part", before.alias("before"))), "part")

@@ -33,4 +33,4 @@ def uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents in their sequences, with their token ids."""
-    return packing.pack_documents(docs, with_ids=True)
+    return packing.pack_documents(docs, with_ids=True, keep_encoder=False)
