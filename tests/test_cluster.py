@@ -59,6 +59,34 @@ def test_dbscan(spark, monkeypatch, d, direct):
     assert len(set(names.values())) == len(names)
 
 
+@pytest.mark.parametrize("d", [2, 3])
+def test_dbscan_of_many_cells(spark, monkeypatch, d):
+    """Touching crowded cells are linked first, and cells of the largest component look for no other cells."""
+    searched = []
+
+    def spied(sources, targets, *rest):
+        searched.append((sources.count(), targets.count()))
+        return near_cells(sources, targets, *rest)
+
+    near_cells = dbscan_module.near_cells
+    monkeypatch.setattr(dbscan_module, "near_cells", spied)
+    rng = np.random.RandomState(d)
+    # a crowded block, a second one just out of reach, a bridge of single points, lone points and points between cells
+    x = np.concatenate([rng.uniform(0, 1, (500, d)), rng.uniform(0, 1, (200, d)) + 1.3, rng.uniform(-1, 4, (60, d)), np.tile(rng.uniform(3, 4, (1, d)), (9, 1))])
+    df, cols = frame(spark, x)
+    eps = 0.1 * (d + 0.5)
+    near, core, label = brute_dbscan(x, eps, 4)
+    plain = {r["id"]: (r["cluster"], r["is_core"]) for r in dbscan(df, cols, eps, 4).collect()}
+    monkeypatch.setattr(dbscan_module, "MANY_CELLS", 0)
+    got = {r["id"]: (r["cluster"], r["is_core"]) for r in dbscan(df, cols, eps, 4).collect()}
+    assert got == plain
+    assert all(got[i][1] == core[i] for i in range(len(x)))
+    names = {(got[i][0], label[i]) for i in range(len(x)) if core[i]}
+    assert len(names) == len({a for a, _ in names}) == len({b for _, b in names})
+    (all_cells, targets), (outer, targets_again) = searched
+    assert all_cells == targets == targets_again and outer < all_cells
+
+
 def test_components(spark):
     rng = np.random.RandomState(2)
     edges = [(int(a), int(b)) for a, b in rng.randint(0, 300, (200, 2))] + [(i, i + 1) for i in range(400, 440)]
