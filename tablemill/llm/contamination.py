@@ -80,8 +80,9 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> Da
         table = grams.where(F.pmod("key", F.lit(slices)) == k)
         present = []
         if k == 0:
-            table = table.unionByName(docs.sparkSession.createDataFrame(
-                [(PRESENT, 0, [], [])], "key long, size int, gram array<string>, items array<string>"))
+            none = F.array().cast("array<string>")  # a row of Spark's own: one from Python starts workers that stay
+            table = table.unionByName(docs.sparkSession.range(1).select(
+                F.lit(PRESENT).cast("long").alias("key"), F.lit(0).alias("size"), none.alias("gram"), none.alias("items")))
             present = [F.array(F.lit(PRESENT).cast("long"))]
         seen = scan.select("*", F.posexplode(F.concat(*present, *hashed)).alias("at", "key"))
         if not present:  # places count from 1 only where the line for the document stands before them

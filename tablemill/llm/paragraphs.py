@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tablemill.functions.numbers import quoted
-from tablemill.llm.base import prepared, slim, text_groups
+from tablemill.llm.base import prepared, release, slim, text_groups
 from tablemill.llm.similar import THRESHOLD, WORDS, exact_links
 from tablemill.llm.words import distinct_grams, grams, hashed_words, minhash, sequence_hashes, spans
 from tablemill.operators.cluster.components import connected_components
@@ -104,6 +104,8 @@ def _texts_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 a, b = starts[w["start"]], ends[w["start"] + w["size"] - 1]
                 out.append((w["node"], w["group"], raw[a:b].decode("utf-8", "surrogatepass")))
         yield pd.DataFrame(out, columns=["node", "group", "text"])
+        del pdf, out
+        release()
 
 
 def _node() -> Column:
@@ -223,6 +225,8 @@ def _extended(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                     out.append((row.doc_id, row.print, first, reach - first, row.kept_doc_id, row.kept_print, first + lag))
         found = pd.DataFrame(out, columns=["doc_id", "print", "start", "size", "kept_doc_id", "kept_print", "kept_start"])
         yield found.astype({"doc_id": "Int64", "kept_doc_id": "Int64"}) if pdf["doc_id"].dtype.kind in "if" else found
+        del pdf, out, found
+        release()
 
 
 def _whole_passages(light: DataFrame, runs: DataFrame, cuts: DataFrame) -> DataFrame:
@@ -279,6 +283,7 @@ def _without(texts: pd.Series, pieces: pd.Series) -> pd.Series:
             keep[edges[k]:edges[k + 1]] = False
         left = np.frombuffer(raw, np.uint8)[keep].tobytes().decode("utf-8", "surrogatepass")
         out.append(left.rstrip() if len(stays) and not stays[-1] else left)
+    release()
     return pd.Series(out, dtype=object)
 
 
@@ -287,7 +292,9 @@ def remove_repeated(docs: DataFrame) -> DataFrame:
     found = repeated_passages(docs).groupBy(F.col("doc_id").alias("__llm_id"), F.col("print").alias("__llm_print")).agg(
         F.collect_set(F.struct("start", "size")).alias("__llm_pieces"))
     same = quoted("doc_id").eqNullSafe(F.col("__llm_id")) & (F.xxhash64(quoted("text")) == F.col("__llm_print"))
-    joined = docs.join(small_side(found), same, "left").withColumn("__llm_left", F.pandas_udf(_without, "string")(quoted("text"), F.col("__llm_pieces")))
+    # called so, it is not worked out a second time for the filter below, by a second worker beside each task's first one
+    without = F.pandas_udf(_without, "string").asNondeterministic()
+    joined = docs.join(small_side(found), same, "left").withColumn("__llm_left", without(quoted("text"), F.col("__llm_pieces")))
     emptied = F.col("__llm_pieces").isNotNull() & ~F.coalesce(F.col("__llm_left"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
     own = {"text": F.col("__llm_left"), "n_chars": F.when(F.col("__llm_pieces").isNull(), quoted("n_chars")).otherwise(
         F.char_length("__llm_left")).cast(docs.schema["n_chars"].dataType) if "n_chars" in docs.columns else None}
