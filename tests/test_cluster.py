@@ -253,3 +253,49 @@ def test_euclidean_silhouette_copies_each_row_few_times(spark, monkeypatch):
     assert tasks.count() == 3000
     copies = df.select(F.lit(0).alias("b")).limit(1).select(*[F.size(whole(*a)).alias(f"s{i}") for i, a in enumerate(seen)]).first()
     assert max(copies) <= metrics.MIN_BLOCKS
+
+
+def test_dbscan_compares_no_points_inside_a_linked_block(spark, monkeypatch):
+    """Crowded cells that touch are linked by their boxes; only points next to what is still open are read again."""
+    searched, read = [], []
+    core_edges, distinct_in = dbscan_module._core_edges, getattr(dbscan_module, "_distinct_in", None)
+
+    def spied(core, pairs, *rest):
+        searched.append(pairs.count())
+        return core_edges(core, pairs, *rest)
+
+    def spied_read(*given):
+        out = distinct_in(*given)
+        read.append(out.count())
+        return out
+
+    monkeypatch.setattr(dbscan_module, "_core_edges", spied)
+    if distinct_in:
+        monkeypatch.setattr(dbscan_module, "_distinct_in", spied_read)
+    rng = np.random.RandomState(7)
+    x = np.concatenate([rng.uniform(0, 1, (4000, 2)), rng.uniform(-2, 3, (40, 2))])
+    df, cols = frame(spark, x)
+    _, core, label = brute_dbscan(x, 0.2, 6)
+    got = {r["id"]: (r["cluster"], r["is_core"]) for r in dbscan(df, cols, 0.2, 6).collect()}
+    assert all(got[i][1] == core[i] for i in range(len(x)))
+    names = {(got[i][0], label[i]) for i in range(len(x)) if core[i]}
+    assert len(names) == len({a for a, _ in names}) == len({b for _, b in names})
+    assert not searched and sum(read) < len(x) / 2
+
+
+def test_dbscan_keeps_rows_without_a_coordinate(spark):
+    """They are near no other row: noise, or a cluster of their own where a cell of them is crowded."""
+    rows = [(i, 0.1, 0.1 + i / 100) for i in range(6)] + [(i, None, 0.1) for i in range(10, 16)] + [(20, 0.1, None), (21, None, None)]
+    df = spark.createDataFrame(rows, "id long, x double, y double")
+    got = {r["id"]: (r["cluster"], r["is_core"]) for r in dbscan(df, ["x", "y"], 0.5, 4).collect()}
+    assert len(got) == len(rows) and got[20] == got[21] == (-1, False)
+    assert {got[i] for i in range(6)} == {(1, True)} and {got[i] for i in range(10, 16)} == {(0, True)}
+
+
+def test_components_of_few_edges_take_one_task(spark, monkeypatch):
+    edges = [([a // 10, a % 10], [b // 10, b % 10]) for a, b in [(1, 2), (2, 13), (20, 31), (31, 1), (50, 41), (60, 60)]]
+    df = spark.createDataFrame(edges, "a array<long>, b array<long>")
+    found = {tuple(r["node"]): tuple(r["label"]) for r in components.few_components(df).collect()}
+    assert found == {(0, 1): (0, 1), (0, 2): (0, 1), (1, 3): (0, 1), (2, 0): (0, 1), (3, 1): (0, 1), (4, 1): (4, 1), (5, 0): (4, 1)}
+    monkeypatch.setattr(components, "ONE_TASK", 0)
+    assert {tuple(r["node"]): tuple(r["label"]) for r in components.few_components(df).collect()} == found
